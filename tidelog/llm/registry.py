@@ -11,7 +11,10 @@ MODULES = {
     "op1_mixing": "mixing",
     "op2_url_filter": "url_filter",
     "op3_secret_scan": "secret_scan",
+    "op4_near_vectors": "near_vectors",
+    "op5_quality": "quality",
     "op6_packing": "packing",
+    "op10_nearest": "nearest",
 }
 
 
