@@ -15,6 +15,7 @@ MODULES = {
     "op5_quality": "quality",
     "op6_packing": "packing",
     "op8_jaccard": "jaccard",
+    "op9_html_text": "html_text",
     "op10_nearest": "nearest",
 }
 
