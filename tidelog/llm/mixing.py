@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from tidelog.llm.common import n_words, table, written
 
+#: The columns that mix() adds; columns of these names that the input has are replaced.
+ADDED = ("epoch", "block", "weight", "passes", "mix_key")
+
 
 def source_stats(docs: DataFrame, source_col: str = "source", tokens_col: str = "n_tokens") -> DataFrame:
     """(source, n_docs, tokens) over all rows. A null source is a source of its own. An empty document counts as one token, so that each has a share."""
@@ -56,7 +59,9 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: float
     anew, full epochs take all blocks, and the last takes blocks in permuted order while its budget lasts. Null ids,
     repeated rows and null sources take part like others; an empty table gives an empty result.
     """
-    stats = written(source_stats(docs, source_col, tokens_col))
+    names = docs.columns
+    docs = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.coalesce(F.col(tokens_col), F.lit(0)).alias("_n"))
+    stats = written(source_stats(docs, "_src", "_n"))
     t = solve_exponent(stats, target_entropy, max_repeats)
     norm = stats.agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(t))).alias("z"), F.max("tokens").alias("hi")).first()
     z, hi = norm["z"] or 1.0, float(norm["hi"] or 1)
@@ -66,8 +71,8 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: float
         F.round(F.pow(F.lit(hi) / F.col("tokens"), F.lit(1 - t)), 9).alias("passes"),
         F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))).alias("n_blocks"),
     )
-    dealt = docs.join(plan, docs[source_col].eqNullSafe(plan["_source"])).withColumn("block", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.col("n_blocks")))
-    blocks = dealt.groupBy("_source", "block").agg(F.sum(F.greatest(F.col(tokens_col), F.lit(1))).alias("block_size"), F.first("tokens").alias("tokens"), F.first("passes").alias("passes"))
+    dealt = docs.join(plan, docs["_src"].eqNullSafe(plan["_source"])).withColumn("block", F.pmod(F.xxhash64("_id", F.lit(seed)), F.col("n_blocks")))
+    blocks = dealt.groupBy("_source", "block").agg(F.sum(F.greatest("_n", F.lit(1))).alias("block_size"), F.first("tokens").alias("tokens"), F.first("passes").alias("passes"))
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil("passes").cast("int"))))
     order = Window.partitionBy("_source", "epoch").orderBy(F.xxhash64("_source", "block", "epoch", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("block_size").over(order), F.lit(0)))
@@ -75,7 +80,7 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.98, max_repeats: float
     blocks = blocks.select(F.col("_source").alias("_s"), F.col("block").alias("_b"), "epoch", ((F.col("epoch") - 1 + (F.col("before") + F.col("block_size") / 2) / F.col("tokens")) / F.col("passes")).alias("mix_key"))
     blocks = blocks.groupBy("_s", "_b").agg(F.array_sort(F.collect_list(F.struct("epoch", "mix_key"))).alias("_drawn"))
     out = dealt.join(blocks, dealt["_source"].eqNullSafe(F.col("_s")) & (dealt["block"] == F.col("_b"))).withColumn("_d", F.explode("_drawn"))
-    return out.select(*[docs[c] for c in docs.columns], F.col("_d.epoch").alias("epoch"), "block", "weight", "passes", F.round("_d.mix_key", 9).alias("mix_key"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in names if c not in ADDED], F.col("_d.epoch").alias("epoch"), "block", "weight", "passes", F.round("_d.mix_key", 9).alias("mix_key"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ MODULES = {
     "op4_near_vectors": "near_vectors",
     "op5_quality": "quality",
     "op6_packing": "packing",
+    "op7_repeats": "repeats",
     "op8_jaccard": "jaccard",
     "op9_html_text": "html_text",
     "op10_nearest": "nearest",
