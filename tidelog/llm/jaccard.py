@@ -73,10 +73,11 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def _repeated_counts(docs: DataFrame, words: int, buckets: int, flush: int = 1_500_000) -> DataFrame:
+def _repeated_counts(docs: DataFrame, words: int, buckets: int, parts: int, flush: int = 1_500_000) -> DataFrame:
     """(key, r): in how many of its shingles, at least, a set meets other sets; r is over all buckets but for sets with 0.
 
-    Hashes are dealt into buckets, packed by the task that makes them: a row holds many sets' hashes of one bucket. Equal sets have one key and so never count as others.
+    Hashes are dealt into buckets, packed by the task that makes them: a row holds many sets' hashes of one bucket. Equal sets have one key and so never count as others. A bucket's
+    counts go on packed too, a row for each of `parts` shares of the keys, so the rows in between don't grow with sets times buckets.
     """
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,10 +124,21 @@ def _repeated_counts(docs: DataFrame, words: int, buckets: int, flush: int = 1_5
         met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         r = np.bincount((pair[met] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(keys))
         some = np.flatnonzero(r)
-        return pd.DataFrame({"key": keys[some], "r": r[some]})
+        keys, r, part = keys[some], r[some], keys[some] % parts
+        order = np.argsort(part, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0])) if len(order) else order
+        ends = np.append(at[1:], len(order))
+        cut = [order[s:e] for s, e in zip(at, ends, strict=True)] if len(order) else []
+        return pd.DataFrame([(int(part[i[0]]), keys[i].tobytes(), r[i].astype(np.int32).tobytes()) for i in cut], columns=["part", "keys", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, which = np.unique(np.frombuffer(b"".join(pdf["keys"]), dtype=np.int64), return_inverse=True)
+        r = np.bincount(which, weights=np.frombuffer(b"".join(pdf["counts"]), dtype=np.int32))
+        return pd.DataFrame({"key": keys, "r": r.astype(np.int64)})
 
     dealt = docs.select("text").mapInPandas(deal, "bucket int, tokens binary, keys binary, runs binary")
-    return dealt.groupBy("bucket").applyInPandas(count, "key long, r long").groupBy("key").agg(F.sum("r").alias("r"))
+    counted = dealt.groupBy("bucket").applyInPandas(count, "part int, keys binary, counts binary")
+    return counted.groupBy("part").applyInPandas(add, "key long, r long")
 
 
 def _least_common(n: np.ndarray | int, percent: int):
@@ -302,7 +314,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     keys = written(set_keys(rows, words))
     nodes = written(keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    met = _repeated_counts(rows, words, max(8, -(-total // bucket_tokens)))
+    met = _repeated_counts(rows, words, max(8, -(-total // bucket_tokens)), max(8, -(-nodes.count() // 200_000)))
     alive = written(nodes.join(met, "key").where(F.col("r") * 100 >= F.col("n") * percent).select("key", "rep"))
     reps = alive.select("rep").distinct()
     chosen = rows.join(F.broadcast(reps) if alive.count() <= broadcast_rows else reps, rows["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
