@@ -342,3 +342,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jaccard_components over all documents, four words and 85 per cent."""
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def oracle(words: int, percent: int) -> str:
+    """DuckDB SQL for jaccard_components: all shingles, all pairs that share one, and the closure of the links."""
+    slices = ", ".join(f"w[i + {k}]" for k in range(words))
+    return f"""
+with recursive cut as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+sh as materialized (select distinct doc_id, s from (
+  select doc_id, unnest(list_transform(range(1, len(w) - {words} + 2), lambda i: concat_ws(' ', {slices}))) as s from cut where len(w) >= {words}
+  union all select doc_id, array_to_string(w, ' ') as s from cut where len(w) between 1 and {words - 1})),
+sz as materialized (select doc_id, count(*) as n from sh group by doc_id),
+pair_of as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+lk as materialized (select a, b from pair_of join sz x on x.doc_id = a join sz y on y.doc_id = b where 100 * c >= {percent} * (x.n + y.n - c)),
+ed as materialized (select a, b from lk union all select b, a from lk),
+reach(doc_id, r) as (select a, a from ed union select reach.doc_id, ed.b from reach join ed on ed.a = reach.r)
+select d.doc_id, coalesce(sz.n, 0) as n_shingles, coalesce(m.r, d.doc_id) as component_id
+from documents d left join sz using (doc_id) left join (select doc_id, min(r) as r from reach group by doc_id) m using (doc_id)"""

@@ -123,3 +123,12 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """link_vectors over all embeddings at a cosine of 0.9."""
     return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+lk as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(vec_id, r) as (select a, a from lk union select reach.vec_id, lk.b from reach join lk on lk.a = reach.r),
+n as (select a as vec_id, count(*) as n from lk group by a), c as (select vec_id, min(r) as r from reach group by vec_id)
+select vec_id, coalesce(n, 0) as n_links, coalesce(r, vec_id) as component_id, vec_id = coalesce(r, vec_id) as kept
+from embeddings left join n using (vec_id) left join c using (vec_id)"""

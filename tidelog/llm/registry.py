@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from tidelog.llm import url_filter
+from tidelog.llm import jaccard, near_vectors, repeats, url_filter
 
 #: Query: module. Each module holds a function of the query's name.
 MODULES = {
@@ -28,4 +28,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {"op2_url_filter": url_filter.ORACLE}
+    return {"op2_url_filter": url_filter.ORACLE, "op4_near_vectors": near_vectors.ORACLE, "op7_repeats": repeats.ORACLE, "op8_jaccard": jaccard.oracle(4, 85)}

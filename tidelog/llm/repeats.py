@@ -321,3 +321,16 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """strip_repeats over all documents at 400 bytes; the bytes left are digested."""
     out = strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+with b as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as materialized (select doc_id, i as s, md5(substr(h, (2 * i + 1)::bigint, 800)) as k from (select doc_id, h, unnest(range(0, n - 399)) as i from b where n >= 400)),
+rep as (select doc_id, s from w semi join (select k from w group by k having count(*) > 1) using (k)),
+gap as (select doc_id, s, case when s > lag(s) over (partition by doc_id order by s) + 400 then 1 else 0 end as cut from rep),
+isl as (select doc_id, s, sum(cut) over (partition by doc_id order by s) as g from gap),
+sp as (select doc_id, min(s) as a, max(s) + 400 as e from isl group by doc_id, g),
+pc as (select doc_id, a, e, coalesce(lag(e) over (partition by doc_id order by a), 0) as pe from sp),
+ag as (select doc_id, sum(e - a)::bigint as r, count(*) as c, max(e) as me, string_agg(substr(h, (2 * pe + 1)::bigint, (2 * (a - pe))::bigint), '' order by a) as kp from pc join b using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, coalesce(r, 0) as n_removed, coalesce(c, 0) as n_spans, sha256(unhex(coalesce(kp, '') || substr(h, (2 * coalesce(me, 0) + 1)::bigint))) as kept_sha256
+from b left join ag using (doc_id)"""
