@@ -10,10 +10,24 @@ BITS, PROBES = 640_000, 7
 
 
 def positions(k: Column, bits: int = BITS) -> Column:
-    """The array of a key's bit positions, (h1 + i * h2 mod 2^64) mod bits for i = 1..PROBES. Unsigned 64-bit values are decimals."""
-    h = F.sha2(k, 256)
-    half = lambda at: F.conv(F.substring(h, at, 16), 16, 10).cast("decimal(20,0)")
-    return F.transform(F.sequence(F.lit(1), F.lit(PROBES)), lambda i: (((half(1) + i.cast("decimal(3,0)") * half(17)) % F.lit("18446744073709551616").cast("decimal(20,0)")) % F.lit(bits).cast("decimal(20,0)")).cast("int"))
+    """The array of a key's bit positions, (h1 + i * h2 mod 2^64) mod bits for i = 1..PROBES.
+
+    The unsigned 64-bit halves of the digest are kept as pairs of 32-bit numbers in longs, so sums carry by shifts and no decimal is needed; the digest is taken once a key.
+    """
+    digest = F.sha2(k, 256)
+    word = lambda d, at: F.conv(F.substring(d, at, 8), 16, 10).cast("long")
+    low32, rest = (1 << 32) - 1, (1 << 32) % bits
+
+    def probes(w: Column) -> Column:
+        def one(i: Column) -> Column:
+            low = w["b1"] + i * w["b2"]
+            high = (w["a1"] + i * w["a2"] + F.shiftrightunsigned(low, 32)).bitwiseAND(F.lit(low32))
+            return (((high % bits) * F.lit(rest) + low.bitwiseAND(F.lit(low32))) % bits).cast("int")
+
+        return F.transform(F.sequence(F.lit(1).cast("long"), F.lit(PROBES).cast("long")), one)
+
+    words = F.transform(F.array(digest), lambda d: F.struct(word(d, 1).alias("a1"), word(d, 9).alias("b1"), word(d, 17).alias("a2"), word(d, 25).alias("b2")))
+    return F.element_at(F.transform(words, probes), 1)
 
 
 def probe_rows(keys: DataFrame, bits: int = BITS) -> DataFrame:
