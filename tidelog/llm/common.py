@@ -25,10 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
+    """df as a table written to the shared folder and read again: lineage ends there, and a lost executor costs nothing. The table is deleted when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
