@@ -314,7 +314,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     keys = written(set_keys(rows, words))
     nodes = written(keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    met = _repeated_counts(rows, words, max(8, -(-total // bucket_tokens)), max(8, -(-nodes.count() // 200_000)))
+    met = _repeated_counts(rows, words, max(16, -(-total // bucket_tokens)), max(8, -(-nodes.count() // 200_000)))
     alive = written(nodes.join(met, "key").where(F.col("r") * 100 >= F.col("n") * percent).select("key", "rep"))
     reps = alive.select("rep").distinct()
     chosen = rows.join(F.broadcast(reps) if alive.count() <= broadcast_rows else reps, rows["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
@@ -326,7 +326,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
     sets = written(chosen.mapInPandas(full, "id long, n long, hashes binary").join(alive, F.col("id") == F.col("key"), "left_semi").dropDuplicates(["id"]))
     size = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    rare = _rarities(sets, max(4, -(-size // bucket_tokens)))
+    rare = _rarities(sets, max(16, -(-size // bucket_tokens)))
     prefix = written(sets.select("id", "hashes").join(rare, "id").mapInPandas(_prefixes(percent), "id long, h long"))
     least = prefix.groupBy("h").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "m")
     parts = components(prefix.join(least, "h").select(F.col("id").alias("a"), F.col("m").alias("b")))
