@@ -107,8 +107,8 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [128, 400])
-def test_repeats_are_exact(spark, length):
+@pytest.mark.parametrize(("length", "crowd"), [(128, 50_000), (400, 50_000), (400, 3)])
+def test_repeats_are_exact(spark, length, crowd):
     rng = random.Random(length)
     passage, edge = words(rng, 200), words(rng, 60)
     texts = [None, "", "short", "a" * 1500, "ab" * 900, "é" * 700]
@@ -127,7 +127,7 @@ def test_repeats_are_exact(spark, length):
         texts.append(" ".join(w))
     texts += [texts[10], texts[10], base]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in repeats.strip_repeats(docs, length).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in repeats.strip_repeats(docs, length, crowd=crowd).collect()}
     assert got == dict(enumerate(brute_repeats(texts, length)))
 
 

@@ -179,6 +179,7 @@ def resolve_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cls": [], "n": [], "lo": [], "hi": []})
     left, right = _padded(pdf["left"], PIECE - 1, True), _padded(pdf["right"], PIECE - 1, False)
     core, t0, t1, shard = (pdf[c].to_numpy() for c in ("core", "t0", "t1", "shard"))
+    span = np.arange(PIECE)
     flags = np.zeros((len(pdf), PIECE), dtype=bool)
     for low in range(0, PIECE, PART):
         a, b = np.maximum(t0, low), np.minimum(t1, low + PART - 1)
@@ -191,7 +192,6 @@ def resolve_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
         alive = _count(inner) > 1
         same = _count(inner, _row_names(near_l), _row_names(near_r), a[rows], b[rows]) > 1
         done = rows[same]
-        span = np.arange(PIECE)
         flags[done] |= (span >= a[done, None]) & (span <= b[done, None])
         open_ = np.flatnonzero(alive)
         # whole texts that were found equal still take part once, as what others may match
@@ -212,6 +212,27 @@ def resolve_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cls": pdf["cls"].to_numpy()[row], "n": pdf["n"].to_numpy()[row], "lo": start - (off - 1), "hi": start - on})
 
 
+def resolve_crowded(pieces: DataFrame) -> DataFrame:
+    """(cls, n, runs) as resolve_pieces finds them, for pieces of anchors that too many places share.
+
+    A text's equal pieces become one with its starts, then equal pieces of all texts one with a count, both by partial aggregates; then the
+    strings are counted one by one with partial sums. So nothing that is shared meets in one task.
+    """
+    named = pieces.withColumn("piece", F.xxhash64("core", "left", "right", "t0", "t1"))
+    own = written(named.groupBy("cls", "n", "piece", "core", "t0", "t1", "left", "right").agg(F.collect_list("start").alias("starts")))
+    kinds = own.groupBy("piece", "core", "t0", "t1", "left", "right").agg(F.sum(F.size("starts")).alias("same"))
+    one = kinds.select("piece", "core", "same", "left", "right", F.explode(F.sequence(F.col("t0").cast("int"), F.col("t1").cast("int"))).alias("t"))
+    l_bytes = F.substring("left", F.length("left") - F.col("t") + 1, F.col("t"))
+    one = written(one.select("piece", "same", F.xxhash64("core", "t", l_bytes, F.substring("right", F.lit(1), F.lit(PIECE - 1) - F.col("t"))).alias("string"), "t"))
+    many = one.groupBy("string").agg(F.sum("same").alias("total")).where("total > 1").select("string")
+    found = one.join(many, "string", "left_semi").groupBy("piece").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    first = F.filter("ts", lambda t: ~F.array_contains("ts", t - 1))
+    last = F.filter("ts", lambda t: ~F.array_contains("ts", t + 1))
+    runs = found.select("piece", F.arrays_zip(first.alias("a"), last.alias("b")).alias("ts"))
+    at = F.flatten(F.transform("starts", lambda s: F.transform("ts", lambda r: F.struct((s - r["b"]).cast("int").alias("lo"), (s - r["a"]).cast("int").alias("hi")))))
+    return own.select("cls", "n", "piece", "starts").join(runs, "piece").select("cls", "n", at.alias("runs"))
+
+
 def _covered(raw: bytes, starts: list[tuple[int, int]], length: int) -> tuple[int, int, bytes]:
     """(bytes removed, maximal removed runs, bytes left) for runs (first, last) of repeated string starts."""
     kept, at, removed, spans = [], 0, 0, 0
@@ -230,12 +251,13 @@ def _covered(raw: bytes, starts: list[tuple[int, int]], length: int) -> tuple[in
     return removed, spans, b"".join(kept)
 
 
-def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", piece_rows: int = 150_000, shards: int = 4) -> DataFrame:
+def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", piece_rows: int = 150_000, crowd: int = 50_000, shards: int = 4) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for every row: kept is the text without each byte covered by a string of `length` bytes that also starts elsewhere.
 
     Strings are compared as UTF-8 bytes over all rows, and judged on the input. Rows are documents, whatever their ids:
     repeated rows repeat each other's strings. Null and empty texts, and those shorter than `length`, lose nothing. Rows of equal text share a class
-    (a 64-bit hash and the length), since they lose the same bytes.
+    (a 64-bit hash and the length), since they lose the same bytes. Anchors that more than
+    `crowd` places share are resolved by partial counts instead of in one task.
     """
     if length < GRAM + PIECE:
         raise ValueError(f"length must be at least {GRAM + PIECE}")
@@ -259,13 +281,13 @@ def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     marked = written(rows.where(F.col("n") >= length).select("cls", "n", "text").mapInPandas(mark, "cls long, n int, p int, a0 short, a1 short, name long, whole long"))
     wholes = marked.groupBy("name", "whole").agg(F.count(F.lit(1)).alias("same"))
     names = wholes.groupBy("name").agg(F.sum("same").alias("all"), F.min("same").alias("least")).where("all > 1")
-    verdict = wholes.join(names, "name").select("name", "whole", (F.col("same") > 1).alias("full"), (F.col("least") == 1).alias("mixed"))
-    judged = written(marked.join(verdict, ["name", "whole"]).select("cls", "n", "p", "a0", "a1", "full", "mixed").distinct())
+    verdict = wholes.join(names, "name").select("name", "whole", (F.col("same") > 1).alias("full"), (F.col("least") == 1).alias("mixed"), (F.col("all") > crowd).alias("crowded"))
+    judged = written(marked.join(verdict, ["name", "whole"]).select("cls", "n", "p", "a0", "a1", "full", "mixed", "crowded").distinct())
     full = judged.where("full").select("cls", "n", (F.col("p") - F.col("a1")).alias("lo"), (F.col("p") - F.col("a0")).alias("hi"))
-    open_ = judged.where("mixed").groupBy("cls", "n").agg(F.collect_list(F.struct("p", "a0", "a1")).alias("open"))
     # one row of a class speaks for its equals: whatever equal texts hold is known to be full
-    speaker = rows.where(F.col("n") >= length).groupBy("cls", "n").agg(F.min("id").alias("speaker"))
-    speakers = rows.where(F.col("n") >= length).join(open_.join(speaker, ["cls", "n"]), ["cls", "n"]).where(F.col("id").eqNullSafe(F.col("speaker")))
+    long_rows = rows.where(F.col("n") >= length)
+    speaker = long_rows.groupBy("cls", "n").agg(F.min("id").alias("speaker"))
+    n_open = {r["crowded"]: r["n"] for r in judged.where("mixed").groupBy("crowded").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -298,11 +320,18 @@ def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
             if out:
                 yield pd.DataFrame(out, columns=["core", "cls", "n", "start", "t0", "t1", "left", "right", "shard"])
 
-    pieces = speakers.select("cls", "n", "text", "open").mapInPandas(cut, "core long, cls long, n int, start int, t0 short, t1 short, left binary, right binary, shard int")
-    n_open = judged.where("mixed").count()
-    groups = max(8, -(-3 * n_open // piece_rows))
-    found = pieces.groupBy(F.pmod(F.col("core"), F.lit(groups)).alias("g")).applyInPandas(resolve_pieces, "cls long, n int, lo int, hi int")
-    runs = full.unionByName(found).distinct().groupBy("cls", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    def pieces(crowded: bool) -> DataFrame:
+        open_ = judged.where(F.col("mixed") & (F.col("crowded") == crowded)).groupBy("cls", "n").agg(F.collect_list(F.struct("p", "a0", "a1")).alias("open"))
+        speakers = long_rows.join(open_.join(speaker, ["cls", "n"]), ["cls", "n"]).where(F.col("id").eqNullSafe(F.col("speaker")))
+        return speakers.select("cls", "n", "text", "open").mapInPandas(cut, "core long, cls long, n int, start int, t0 short, t1 short, left binary, right binary, shard int")
+
+    groups = max(8, -(-3 * n_open.get(False, 0) // piece_rows))
+    found = pieces(False).groupBy(F.pmod(F.col("core"), F.lit(groups)).alias("g")).applyInPandas(resolve_pieces, "cls long, n int, lo int, hi int")
+    if n_open.get(True):
+        more = resolve_crowded(pieces(True))
+        runs = full.unionByName(found).distinct().select("cls", "n", F.array(F.struct("lo", "hi")).alias("runs")).unionByName(more).groupBy("cls", "n").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    else:
+        runs = full.unionByName(found).distinct().groupBy("cls", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     final = rows.join(runs, ["cls", "n"], "left")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
