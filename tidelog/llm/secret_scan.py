@@ -17,7 +17,7 @@ DICTIONARY = "about access account admin archive article asset backup bank build
 NEAR_SECRET = "(?i)passw|pwd|secret|token|api.?key|access.?key|auth|credential|private|bearer"
 NEAR_HARMLESS = "(?i)example|sample|dummy|placeholder|commit|sha-?[0-9]|md5|checksum|hash|uuid|digest|integrity|revision|isbn|version|build|fixture"
 KNOWN_PREFIX = "^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|xox[abp]-|AIza|eyJ)"
-FEATURES = ("length", "transitions", "dictionary", "digits", "upper", "hex_only", "pathlike", "near_secret", "near_harmless", "known_prefix", "variety")
+FEATURES = ("length", "transitions", "dictionary", "digits", "upper", "hex_only", "pathlike", "near_secret", "near_harmless", "known_prefix", "variety", "after_secret", "after_harmless")
 
 
 def features(c: Column, left: Column, right: Column, path: Column) -> list[Column]:
@@ -33,11 +33,13 @@ def features(c: Column, left: Column, right: Column, path: Column) -> list[Colum
         share("[0-9]"),
         share("[A-Z]"),
         flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
-        F.regexp_count(F.concat(left, c, right), F.lit(r"[/\\]|://|\.[a-z]{2,4}\b")).cast("double"),
+        F.regexp_count(F.concat(left, c, F.regexp_extract(right, r"^\S*", 0)), F.lit(r"[/\\]|://|\.[a-z]{2,4}\b")).cast("double"),
         flag(near.rlike(NEAR_SECRET)),
         flag(near.rlike(NEAR_HARMLESS)),
         flag(c.rlike(KNOWN_PREFIX)),
         F.size(F.array_distinct(F.split(c, ""))) / n,
+        flag(right.rlike(NEAR_SECRET)),
+        flag(right.rlike(NEAR_HARMLESS)),
     ]
 
 
@@ -49,6 +51,10 @@ def labelled_findings(n: int = 1200, seed: int = 7) -> list[tuple[str, str, str,
     words = lambda k: " ".join(draw(low, rng.randint(2, 8)) if rng.random() < 0.5 else rng.choice(DICTIONARY) for _ in range(k))
     key = lambda: rng.choice(["password=", "token = \"", "secret: ", "api_key=", "API-KEY: ", "passwd: ", "auth_token=", "access_key = '", "Authorization: Bearer "])
     harmless = lambda: rng.choice(["commit ", "sha256: ", "md5 ", "checksum=", "uuid ", "example ", "build ", "version ", "digest: ", "revision "])
+    # what follows has a rng of its own: a hint there decides where nothing before the candidate does
+    after = random.Random(seed + 1)
+    secret_after = lambda: after.choice([" is the password", " (api key)", " as secret for it", " was their token"])
+    harmless_after = lambda: after.choice([" is the commit", " (sha256)", " as checksum of it", " was the build"])
     out = []
     for i in range(n):
         kind, tail = i % 12, rng.choice(["", "\"", "'", ".", ","])
@@ -74,6 +80,12 @@ def labelled_findings(n: int = 1200, seed: int = 7) -> list[tuple[str, str, str,
             out.append((draw(low, rng.randint(15, 28)) + str(rng.randint(0, 9)), words(3) + " ", tail, "", 0))
         else:
             out.append(("".join(rng.choice(DICTIONARY).title() for _ in range(rng.randint(3, 5))) + str(rng.randint(0, 99)), words(2) + " " + rng.choice([key(), ""]), tail, "", 0))
+        c, left, right, path, label = out[-1]
+        if kind in (3, 6) and after.random() < 0.3:
+            left, right = " ".join(after.choice(DICTIONARY[:8]) for _ in range(3)) + " ", right + (secret_after() if label else harmless_after())
+        else:
+            right += after.choice([secret_after(), harmless_after(), " " + " ".join(after.sample(DICTIONARY[:8], 3)), ""])
+        out[-1] = (c, left, right, path, label)
     return out
 
 
@@ -137,7 +149,7 @@ def _trained(app: str, n: int, seed: int) -> list:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, threshold: float = 0.5, mask: str = "<SECRET>", n_train: int = 1200, seed: int = 7) -> DataFrame:
     """docs with `findings` (candidate, left, probability), `secrets` (strings taken as real) and `clean_text` (each secret replaced by mask).
 
-    One pass over whole texts, without a shuffle: candidates, neighbours and the forest are array expressions of the row. A
+    Every candidate of every word is judged, each with its own neighbours before and after. One pass over whole texts, without a shuffle: candidates, neighbours and the forest are array expressions of the row. A
     null text gives empty arrays and a null clean_text; repeated rows and null ids are scanned each by itself.
     """
     forest = _trained(docs.sparkSession.sparkContext.applicationId, n_train, seed)
@@ -146,12 +158,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     has = F.col(text_col).rlike(CANDIDATE)
     at = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.element_at("_words", i + 1).rlike(CANDIDATE))
 
-    def one(i: Column) -> Column:
+    def parts(i: Column) -> Column:
+        """A word's candidates and what is around them: one gap more than candidates."""
         w = F.element_at("_words", i + 1)
-        c = F.regexp_extract(w, CANDIDATE, 0)
-        first = F.instr(w, c)
-        left = F.concat_ws(" ", F.slice("_words", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), F.substring(w, F.lit(1), first - 1))
-        return F.struct(c.alias("c"), left.alias("left"), F.substring(w, first + F.length(c), F.length(w)).alias("right"))
+        return F.struct(i.alias("i"), F.regexp_extract_all(w, F.lit(CANDIDATE), F.lit(0)).alias("cs"), F.split(w, CANDIDATE).alias("gaps"))
+
+    def one(p: Column, j: Column) -> Column:
+        """Neighbours are three units before and after: first those of the same word (a candidate with the gap at its side), then words."""
+        i, cs, gaps, gap = p["i"], p["cs"], p["gaps"], F.element_at(p["gaps"], j + 1)
+        glue = lambda a, b: F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x, y)), "")
+        back, ahead = F.least(j, F.lit(3)), F.least(F.size(cs) - j - 1, F.lit(3))
+        inner = glue(F.slice(gaps, j - back + 1, back), F.slice(cs, j - back + 1, back))
+        n = F.least(i, 3 - back)
+        left = F.concat_ws(" ", F.slice("_words", F.greatest(i - n + 1, F.lit(1)), n), F.concat(inner, gap))
+        # between two candidates a name, such as the key of a value, belongs to the second alone
+        left = F.when((j > 0) & gap.rlike("[A-Za-z]{2}"), gap).otherwise(left)
+        rest = F.concat(F.element_at(gaps, j + 2), glue(F.slice(cs, j + 2, ahead), F.slice(gaps, j + 3, ahead)))
+        return F.struct(F.element_at(cs, j + 1).alias("c"), left.alias("left"), F.concat_ws(" ", rest, F.slice("_words", i + 2, 3 - ahead)).alias("right"))
+
+    def all_of(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(p["cs"]) - 1), lambda j: one(p, j))
 
     def judged(x: Column) -> Column:
         return F.struct(x["c"].alias("candidate"), x["left"].alias("left"), F.array(*features(x["c"], x["left"], x["right"], where)).alias("f"))
@@ -161,7 +187,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     none = F.array().cast("array<struct<candidate:string,left:string,probability:double>>")
     out = docs.withColumn("_words", F.when(has, words))
-    out = out.withColumn("findings", F.when(F.col("_words").isNull(), none).otherwise(F.transform(F.transform(F.transform(at, one), judged), scored)))
+    out = out.withColumn("findings", F.when(F.col("_words").isNull(), none).otherwise(F.transform(F.transform(F.flatten(F.transform(F.transform(at, parts), all_of)), judged), scored)))
     out = out.withColumn("secrets", F.array_distinct(F.transform(F.filter("findings", lambda x: x["probability"] >= threshold), lambda x: x["candidate"]))).drop("_words")
     longest_first = F.array_sort("secrets", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     return out.withColumn("clean_text", F.aggregate(longest_first, F.col(text_col), lambda t, s: F.replace(t, s, F.lit(mask))))
