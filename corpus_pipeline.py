@@ -25,10 +25,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id. Of rows without an id one of each text stays."""
-    known = docs.where("doc_id is not null")
-    firsts = jaccard.jaccard_components(known, WORDS, PERCENT).where("doc_id = component_id").select("doc_id").distinct()
-    return known.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """Of each group of near duplicates the row with the smallest id (null last). Rows are told apart by a number of their own, so repeated and null ids lose nothing and hide nothing."""
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = jaccard.jaccard_components(keyed, WORDS, PERCENT, id_col="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    firsts = groups.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return keyed.join(firsts, "_row", "left_semi").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

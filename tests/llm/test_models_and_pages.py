@@ -122,3 +122,15 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
         out.write.parquet(path)
         step = spark.read.parquet(path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == step.count()
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(6)]
+    near = lambda t: t + " end"
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[2]), (8, near(texts[2])), (None, near(texts[0])), (None, texts[3]), (None, near(texts[3])), (None, texts[4]), (3, texts[5]), (2, near(texts[5])), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.keep_one_of_group(spark, docs, "").collect()]
+    three = [r for r in got if r in ((None, texts[3]), (None, near(texts[3])))]
+    assert len(three) == 1
+    assert sorted(map(repr, set(got) - set(three))) == sorted(map(repr, [(7, texts[0]), (7, texts[1]), (7, texts[2]), (None, texts[4]), (2, near(texts[5])), (9, None)])) and len(got) == 7
