@@ -134,3 +134,10 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     three = [r for r in got if r in ((None, texts[3]), (None, near(texts[3])))]
     assert len(three) == 1
     assert sorted(map(repr, set(got) - set(three))) == sorted(map(repr, [(7, texts[0]), (7, texts[1]), (7, texts[2]), (None, texts[4]), (2, near(texts[5])), (9, None)])) and len(got) == 7
+
+
+def test_text_beside_a_small_article_stays(spark):
+    page = lambda k: f"<nav>menu</nav><p>shared banner</p><h1>Title {k}</h1><div>main text of {k}</div><article><p>teaser</p></article><p>shared end</p>"
+    rows = [(k, f"http://h.com/{k}", page(k)) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nmain text of {k}\nteaser" for k in range(3)}
