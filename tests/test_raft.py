@@ -93,7 +93,7 @@ def test_commit_and_apply(spark):
     assert [r["idx"] for r in raft.compacted_log(done, log2).collect()] == [3]
 
 
-def test_acknowledgement_needs_the_term(spark):
-    pending = spark.createDataFrame([(1, 5, 1), (2, 6, 2)], "client long, idx long, term long")
-    applied = spark.createDataFrame([("n", 5, 2, "c"), ("n", 6, 2, "c")], LOG)
-    assert [tuple(r) for r in raft.ack_join(pending, applied).collect()] == [(2, 6, 2)]
+def test_acknowledgement_needs_node_and_term(spark):
+    pending = spark.createDataFrame([(1, "n", 5, 1), (2, "n", 6, 2), (3, "m", 6, 2)], "client long, node string, idx long, term long")
+    applied = spark.createDataFrame([("n", 5, 2, "set a b"), ("n", 6, 2, "set a c")], "node string, idx long, term long, command string")
+    assert [tuple(r) for r in raft.ack_join(pending, applied).collect()] == [(2, "n", 6, 2)]

@@ -1,9 +1,12 @@
 """Runs, reads through layers, pruning, flush boundaries, recovery and the stream."""
 
+import os
+
 import pytest
 
 from tidelog.operators import runs, state
-from tidelog.streaming.state import maintain
+from tidelog.sources import work
+from tidelog.streaming.state import maintain, read_state
 
 LOG = "idx long, op int, k string, v string"
 RUN = "file_id long, k string, idx long, op int, v string"
@@ -68,4 +71,39 @@ def test_layers_recovery_and_stream_agree(spark, tmp_path):
         log.where(f"idx > {low} and idx <= {low + 100}").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(src)
     out = str(tmp_path / "out")
-    assert rows(spark.read.parquet(f"{out}/state/v{maintain(stream, out)}")) == folded
+    assert maintain(stream, out) == 1
+    assert rows(read_state(spark, out)) == folded
+
+
+def test_stream_restarts(spark, tmp_path):
+    """Restarts with and without new data go on where the stream ended; runs are merged in tiers, and what nothing names is deleted."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    stream = lambda: spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(src)
+    records = [(i, int(i % 7 == 0), f"k{(i * i) % 23}", f"v{i}") for i in range(1, 131)]
+    put = lambda low, high: spark.createDataFrame([r for r in records if low < r[0] <= high], LOG).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([], LOG).write.parquet(src)
+    assert maintain(stream(), out, fan=3) <= 0 and read_state(spark, out).count() == 0
+    seen = maintain(stream(), out, fan=3)
+    for step in range(13):
+        put(10 * step, 10 * step + 10)
+        now = maintain(stream(), out, fan=3)
+        assert now == seen + 1
+        assert maintain(stream(), out, fan=3) == now  # nothing new
+        seen = now
+        assert rows(read_state(spark, out)) == rows(state.fold(spark.createDataFrame(records[: 10 * step + 10], LOG)))
+    assert work.versions(spark, f"{out}/manifest") == [seen - 1, seen]
+    assert len([p for p in os.listdir(f"{out}/runs") if not p.startswith(".")]) <= 9
+
+
+def test_a_batch_that_ran_before_gives_the_same(spark, tmp_path):
+    """The last batch's commit is lost after its manifest was published: it runs again, over its own manifest."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    stream = lambda: spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(src)
+    for step in range(4):
+        spark.createDataFrame([(step * 5 + i, 0, f"k{i}", f"v{step}") for i in range(1, 6)], LOG).coalesce(1).write.mode("append").parquet(src)
+    last = maintain(stream(), out, fan=2)
+    before = rows(read_state(spark, out))
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{out}/checkpoint/commits/{name}"):
+            os.remove(f"{out}/checkpoint/commits/{name}")
+    assert maintain(stream(), out, fan=2) == last and rows(read_state(spark, out)) == before

@@ -45,6 +45,17 @@ def chunks(bits: DataFrame) -> DataFrame:
     return bits.groupBy("file_id", F.expr("bit_pos div 64").alias("chunk")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit_pos % 64 as int))")).alias("mask"))
 
 
+def probed_bits(runs: DataFrame, keys: DataFrame, bits: int = BITS) -> DataFrame:
+    """(file_id, bit_pos): of the runs' filters only the bits that some key probes, so that what is made distinct grows with the keys."""
+    wanted = probe_rows(keys, bits).select("bit_pos").distinct()
+    return runs.select("file_id", F.explode(positions(F.col("k"), bits)).alias("bit_pos")).join(small(wanted), "bit_pos", "left_semi").distinct().select("file_id", "bit_pos")
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def passes(filters: DataFrame, keys: DataFrame, bits: int = BITS) -> DataFrame:
     """(file_id, k) for each run whose filter has all bits of the key."""
     probes = probe_rows(keys, bits).select("k", "bit_pos").distinct()

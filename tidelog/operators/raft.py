@@ -70,8 +70,8 @@ def append_truncate(requests: DataFrame, entries: DataFrame, states: DataFrame,
 
 
 def ack_join(pending: DataFrame, applied: DataFrame) -> DataFrame:
-    """(client, idx, term): pending writes whose entry was applied. Both index and term must agree, so a later leader's entry at the same index acknowledges nothing."""
-    return pending.join(applied, ["idx", "term"]).select("client", "idx", "term")
+    """(client, node, idx, term): pending writes of nodes whose entry the node applied. Node, index and term must agree, so a later leader's entry at the same index acknowledges nothing."""
+    return pending.join(applied, ["node", "idx", "term"]).select("client", "node", "idx", "term")
 
 
 def commit_index(states: DataFrame, log: DataFrame, peers: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -78,6 +79,14 @@ def get_layered(layered: DataFrame, probes: DataFrame) -> DataFrame:
     return _outcome(probes.join(hit, "k", "left").select("k", "op", "v"))
 
 
+def get_stored(stored: DataFrame, cat: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(k, status, v) of the given keys from stored runs: only folders of runs whose range holds one of them are read, and the keys reach the scan, where row groups' ranges and Bloom filters skip what has none of them."""
+    held = reduce(lambda a, b: a | b, [(F.col("min_k") <= k) & (F.col("max_k") >= k) for k in keys])
+    within = cat.where(held).select("file_id")
+    hit = stored.where(F.col("k").isin(*keys)).join(within, "file_id", "left_semi")
+    return get(hit, cat.sparkSession.createDataFrame([(k,) for k in keys], "k string"))
+
+
 def candidate_runs(cat: DataFrame, probes: DataFrame) -> DataFrame:
     """(file_id, k): the runs whose key range holds the probe. Probes are a stated, small set; they are the side that a range join repeats."""
     return cat.join(probes, (F.col("k") >= F.col("min_k")) & (F.col("k") <= F.col("max_k"))).select("file_id", "k")
@@ -91,7 +100,7 @@ def prune_by_range(cat: DataFrame, probes: DataFrame) -> DataFrame:
 
 def prune_by_bloom(runs: DataFrame, probes: DataFrame) -> DataFrame:
     """(file_id, k) for each run whose Bloom filter may hold the probe."""
-    return bloom.passes(bloom.build(runs), probes)
+    return bloom.passes(bloom.probed_bits(runs, probes), probes)
 
 
 def sparse_seek(runs: DataFrame, probes: DataFrame) -> DataFrame:
@@ -113,7 +122,8 @@ def flush_generations(log: DataFrame, threshold: int = FLUSH_BYTES) -> DataFrame
     """(shard, idx, generation) of (shard, idx, k, v): a memtable that reaches threshold bytes is flushed at once, and the next record starts an empty one.
 
     The boundary depends on all records since the last, so a shard is folded in order: streamed in sorted batches, with only the open
-    memtable's sizes held, whatever the shard's length. Shards run in parallel.
+    memtable's sizes held, whatever the shard's length. Shards run in parallel; a shard is one task, some million records a second and core, so a hot
+    one is to be split into more shards where they are assigned, as the data model has it.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.ordering import global_rank, running_sum
+from tidelog.functions.bloom import small
+from tidelog.functions.ordering import global_rank, running_sum, versions
 
 
 def fold(log: DataFrame) -> DataFrame:
@@ -14,6 +15,11 @@ def fold(log: DataFrame) -> DataFrame:
     return last.select("k", "x.idx", "x.op", "x.v")
 
 
+def of_keys(log: DataFrame, probes: DataFrame) -> DataFrame:
+    """The records of the probed keys, found before anything is shuffled where the probes are few."""
+    return log.join(small(probes.select("k").distinct()), "k", "left_semi")
+
+
 def live(log: DataFrame) -> DataFrame:
     """(k, idx, v) of the keys whose last record sets them."""
     return fold(log).where("op = 0").select("k", "idx", "v")
@@ -52,9 +58,8 @@ def size(log: DataFrame) -> DataFrame:
 
 def running_size(log: DataFrame) -> DataFrame:
     """(idx, size_in_bytes) after each record: an overwrite counts the difference to the key's record before."""
-    x = log.withColumn("_s", entry_size(F.col("k"), F.col("v")))
-    x = x.withColumn("_d", F.col("_s") - F.coalesce(F.lag("_s").over(Window.partitionBy("k").orderBy("idx")), F.lit(0)))
-    return running_sum(x, F.col("_d"), "idx", "size_in_bytes").select("idx", "size_in_bytes")
+    x = versions(log.withColumn("_s", entry_size(F.col("k"), F.col("v"))), "k", "idx", F.col("_s"))
+    return running_sum(x, F.col("_s") - F.coalesce("before", F.lit(0)), "idx", "size_in_bytes").select("idx", "size_in_bytes")
 
 
 def sorted_entries(log: DataFrame) -> DataFrame:
@@ -64,8 +69,7 @@ def sorted_entries(log: DataFrame) -> DataFrame:
 
 def history(log: DataFrame) -> DataFrame:
     """(k, version, idx, op, v, before): every version of every key, with the value before it."""
-    w = Window.partitionBy("k").orderBy("idx")
-    return log.select("k", F.row_number().over(w).cast("long").alias("version"), "idx", "op", "v", F.lag("v").over(w).alias("before"))
+    return versions(log, "k", "idx", F.col("v")).select("k", "version", "idx", "op", "v", "before")
 
 
 def range_scan(state: DataFrame, low: str, high: str) -> DataFrame:
@@ -86,9 +90,20 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def stale_get(log: DataFrame, replicas: DataFrame) -> DataFrame:
-    """(node, k, idx, op, v): each replica's state, which holds the records up to its last_applied. replicas: (node, last_applied), few rows, or ranges of the log that partition it."""
-    x = replicas.select("node", "last_applied").join(log, F.col("idx") <= F.col("last_applied"))
-    return x.groupBy("node", "k").agg(F.max_by(F.struct("idx", "op", "v"), "idx").alias("x")).select("node", "k", "x.idx", "x.op", "x.v")
+    """(node, k, idx, op, v): each replica's state, which holds the records up to its last_applied. replicas: (node, last_applied).
+
+    The replicas' indices cut the log into segments, and each segment is folded by key once. A key's record in one segment is what all replicas see that stand
+    between it and the key's next one, so it is repeated for these alone: no record meets a replica that does not return it.
+    """
+    ends = replicas.select(F.col("last_applied").cast("long").alias("end")).distinct()
+    # a record's segment is the number of ends below it; an end's own number follows from the same running sum
+    points = log.select((F.col("idx") * 2).alias("_o"), "k", "idx", "op", "v", F.lit(0).alias("_e")).unionByName(ends.select((F.col("end") * 2 + 1).alias("_o"), F.lit(1).alias("_e")), allowMissingColumns=True)
+    points = running_sum(points, F.col("_e"), "_o", "_seg")
+    numbered = points.where("_e = 1").select(F.expr("(_o - 1) div 2").alias("last_applied"), (F.col("_seg") - 1).alias("_at"))
+    held = points.where("_e = 0").groupBy("k", "_seg").agg(F.max_by(F.struct("idx", "op", "v"), "idx").alias("x"))
+    upto = F.lead("_seg").over(Window.partitionBy("k").orderBy("_seg"))
+    seen = held.withColumn("_to", F.coalesce(upto, F.lit(ends.count())) - 1).where("_to >= _seg").select("k", "x", F.explode(F.sequence("_seg", "_to")).alias("_at"))
+    return seen.join(replicas.select("node", F.col("last_applied").cast("long").alias("last_applied")).join(numbered, "last_applied"), "_at").select("node", "k", "x.idx", "x.op", "x.v")
 
 
 def heartbeat_gaps(beats: DataFrame, limit_us: int) -> DataFrame:

@@ -11,6 +11,9 @@ STRIDE = 50
 #: Keys that hit the newest layer, old runs, tombstones, and nothing, inside and outside the key range.
 PROBES = ("u0", "u1", "u7", "u13", "u42", "u77", "u99", "u101", "u120", "u149", "u15x", "u999", "a", "zz")
 
+#: Replica s stands at (s * SPREAD) modulo the log's last index.
+SPREAD = 7919
+
 STATES = (
     "concat('s', cast(s_suppkey as string)) as node", "s_suppkey as s",
     "case s_suppkey % 3 when 0 then 'Leader' when 1 then 'Follower' else 'Candidate' end as role",

@@ -78,12 +78,13 @@ SQL: dict[str, str] = {
     "kv_multi_get": f"{w(M, STATE, PROBE)}select probes.k, {OUTCOME} from probes left join st using (k)",
     "kv_get_sst": f"{w(M, RUNS, PROBE)}, h as (select k, arg_max(op, file_id) as op, arg_max(v, file_id) as v from runs group by k) select probes.k, {OUTCOME} from probes left join h using (k)",
     "kv_get_sst_raw": f"{w(M, RUNS, PROBE)}, h as (select k, arg_max(op, file_id) as op, arg_max(v, file_id) as v from runs group by k) select probes.k, case when op is null then 'not_found' else 'value' end as status, v from probes left join h using (k)",
+    "sst_stored_get": f"{w(M, STATE, PROBE)}select probes.k, {OUTCOME} from probes left join st using (k)",
     "kv_get_layered": f"{w(M, STATE, PROBE)}select probes.k, {OUTCOME} from probes left join st using (k)",
     "kv_state": FULL, "recover_state": FULL, "replay_idempotent": FULL, "kv_state_stream": FULL,
     "kv_live": f"{w(M, STATE)}select k, idx, v from st where op = 0",
     "kv_tombstones": f"{w(M, STATE)}select k, idx from st where op = 1",
     "kv_as_of": w(M) + "select k, max(idx) as idx, arg_max(op, idx) as op, arg_max(v, idx) as v from m where idx <= 500 group by k",
-    "kv_get_stale": f"{w(M, STATES)}select node, k, max(m.idx) as idx, arg_max(op, m.idx) as op, arg_max(v, m.idx) as v from (select node, s * 7 as last_applied from states where s <= 10) r join m on m.idx <= r.last_applied group by node, k",
+    "kv_get_stale": f"{w(M, STATES)}select node, k, max(m.idx) as idx, arg_max(op, m.idx) as op, arg_max(v, m.idx) as v from (select node, s * {i.SPREAD} % (select max(idx) from m) as last_applied from states) r join m on m.idx <= r.last_applied group by node, k",
     "kv_history": f"{w(M)}select k, row_number() over (partition by k order by idx) as version, idx, op, v, lag(v) over (partition by k order by idx) as before from m",
     "kv_range_scan": f"{w(M, STATE)}select k, v from st where op = 0 and k >= 'u1' and k < 'u4'",
     "kv_prefix_scan": f"{w(M, STATE)}select k, v from st where op = 0 and starts_with(k, 'u1')",
@@ -102,7 +103,7 @@ SQL: dict[str, str] = {
  case when not bad and leader_commit > commit_index then least(new_last, leader_commit) else commit_index end as commit_index, (not bad and prev_log_index = 0 and n_entries > 0 and last_index > 0) as dup_risk from dec""",
     "raft_append_truncate": w(STATES, LOG, REQ, LAST, AT, JUDGED, DECIDED, ENTRIES) + """select dec.req_id, dec.node, log.idx, log.term, log.command from dec join log on log.node = dec.node where not cuts or log.idx <= prev_log_index
  union all select dec.req_id, dec.node, new_last - n_entries + pos + 1, entries.term, entries.command from dec join entries using (req_id) where not bad""",
-    "raft_ack_join": f"{w(STATES, LOG)}select s * 100 + log.idx as client, log.idx, log.term from log join states using (node) where log.idx > last_applied and log.idx <= commit_index and s % 2 = 1 and s = 7",
+    "raft_ack_join": f"{w(STATES, LOG)}select s * 100 + log.idx as client, node, log.idx, log.term from log join states using (node) where log.idx > last_applied and log.idx <= commit_index and (s + log.idx) % 5 <> 0",
     "raft_commit_index": w(STATES, LOG, PEERS) + """, np as (select node, count(*) as n from peers group by node), ack as (select log.node, log.idx, log.term, 1 + count(peer) filter (match_index >= idx) as c from log left join peers using (node) group by all),
  ok as (select ack.node, max(idx) as b from ack join states using (node) left join np using (node) where idx > commit_index and ack.term = current_term and c > ceil(coalesce(n, 0) / 2.0) group by ack.node)
  select node, coalesce(b, commit_index) as commit_index from states left join ok using (node)""",

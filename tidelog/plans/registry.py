@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import bloom, codec, grammar
 from tidelog.operators import raft, runs, state
 from tidelog.plans import inputs, oracle
-from tidelog.sources import log_store
+from tidelog.sources import log_store, work
 from tidelog.sources.tables import log_of, read
 from tidelog.streaming.state import state_by_stream
 
@@ -26,6 +26,26 @@ def _probed(f):
     return lambda spark, d: f(runs.runs_by_stride(log_of(spark, d), inputs.STRIDE), inputs.probes(spark))
 
 
+def _seen(f):
+    """A query of runs and probes that only needs the probed keys' records."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        probes = inputs.probes(spark)
+        return f(runs.runs_by_stride(state.of_keys(log_of(spark, d), probes), inputs.STRIDE), probes)
+
+    return run
+
+
+def _held(f):
+    """A query of the probed keys' state and the probes."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        probes = inputs.probes(spark)
+        return f(state.fold(state.of_keys(log_of(spark, d), probes)), probes)
+
+    return run
+
+
 def _raft(f):
     """A query of states and the specs named by f's parameters."""
 
@@ -63,18 +83,20 @@ def _json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def _codec_decode(log: DataFrame) -> DataFrame:
     """Every seventh record loses its last byte and its prefix is mended, and every next one all but two bytes."""
-    h = codec.encode_hex(F.col("idx"), F.col("op"), F.col("k"), F.col("v"))
-    cut = F.concat(F.lpad(F.hex(F.octet_length("k") + F.octet_length("v") + 16), 8, "0"), F.substring("h", F.lit(9), F.length("h") - 10))
-    x = log.where("op = 0").withColumn("h", h)
-    x = x.select(F.when(F.col("idx") % 7 == 0, cut).when(F.col("idx") % 7 == 1, F.substring("h", 1, 4)).otherwise(F.col("h")).alias("h"))
-    return x.select(codec.decode_hex(F.col("h")).alias("x")).select("x.*")
+    x = log.where("op = 0").withColumn("b", codec.encode(F.col("idx"), F.col("op"), F.col("k"), F.col("v")))
+    cut = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("b") - 5), 8, "0")), F.substring("b", F.lit(5), F.octet_length("b") - 5))
+    x = x.select(codec.decode(F.when(F.col("idx") % 7 == 0, cut).when(F.col("idx") % 7 == 1, F.substring("b", 1, 2)).otherwise(F.col("b"))).alias("x"))
+    return x.select("x.status", F.col("x.idx").cast("long").alias("idx"), "x.op", codec.as_text(F.col("x.k")).alias("k"), codec.as_text(F.col("x.v")).alias("v"), "x.consumed")
 
 
-def _codec_decode_stream(log: DataFrame) -> DataFrame:
-    """A stream for each key, of its encoded records in order."""
-    parts = log.groupBy(F.col("k").alias("stream_id")).agg(F.array_sort(F.collect_list(F.struct("idx", codec.encode(F.col("idx"), F.col("op"), F.col("k"), F.col("v")).alias("b")))).alias("x"))
-    data = F.unhex(F.concat_ws("", F.transform("x", lambda e: F.hex(e["b"]))))
-    return codec.decode_streams(parts.select("stream_id", data.alias("data")))
+def _codec_decode_stream(log: DataFrame, segment: int = 65_536) -> DataFrame:
+    """A stream for each key, of its encoded records in order, in segments of the log's indices."""
+    seg = F.expr(f"idx div {segment}")
+    parts = log.groupBy(F.col("k").alias("stream_id"), seg.alias("seg")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("idx", codec.encode_hex(F.col("idx"), F.col("op"), F.col("k"), F.col("v")).alias("h")))).alias("x"))
+    earlier = Window.partitionBy("stream_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    data = F.unhex(F.concat_ws("", F.transform("x", lambda e: e["h"])))
+    out = codec.decode_streams(parts.select("stream_id", data.alias("data"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")))
+    return out.select("stream_id", "status", F.col("pos").cast("int").alias("pos"), F.col("idx").cast("long").alias("idx"), "op", codec.as_text(F.col("k")).alias("k"), codec.as_text(F.col("v")).alias("v"))
 
 
 def _value_utf8(log: DataFrame) -> DataFrame:
@@ -88,8 +110,18 @@ def _cmd_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _get_layered(spark: SparkSession, d: str) -> DataFrame:
-    log = log_of(spark, d)
-    return runs.get_layered(runs.layers(log, inputs.STRIDE, _last(log)), inputs.probes(spark))
+    log, probes = log_of(spark, d), inputs.probes(spark)
+    return runs.get_layered(runs.layers(state.of_keys(log, probes), inputs.STRIDE, _last(log)), probes)
+
+
+def _stored_get(spark: SparkSession, d: str) -> DataFrame:
+    """Point reads of runs in storage, through their published catalog."""
+    at = work.new_folder(spark, "runs")
+    log_store.write_runs(runs.runs_by_stride(log_of(spark, d), inputs.STRIDE * 100), f"{at}/runs")
+    everything = spark.read.schema(log_store.RUN_SCHEMA).parquet(f"{at}/runs")
+    log_store.save_catalog(runs.catalog(everything), f"{at}/catalog")
+    cat = log_store.load_catalog(spark, f"{at}/catalog")
+    return runs.get_stored(log_store.read_runs(spark, f"{at}/runs", cat), cat, inputs.PROBES)
 
 
 def _recover(spark: SparkSession, d: str) -> DataFrame:
@@ -106,8 +138,9 @@ def _state_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stale(spark: SparkSession, d: str) -> DataFrame:
-    replicas = inputs.states(spark, d).where("s <= 10").selectExpr("node", "s * 7 as last_applied")
-    return state.stale_get(log_of(spark, d), replicas)
+    log = log_of(spark, d)
+    replicas = inputs.states(spark, d).select("node", (F.col("s") * inputs.SPREAD % _last(log)).alias("last_applied"))
+    return state.stale_get(log, replicas)
 
 
 def _gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -125,9 +158,9 @@ def _truncate(st: DataFrame, log: DataFrame, over) -> DataFrame:
 
 
 def _acks(st: DataFrame, log: DataFrame, over) -> DataFrame:
-    applied = raft.apply_range(st, log).where("node = 's7'")
-    pending = log.where("node = 's7'").selectExpr("700 + idx as client", "idx", "term")
-    return raft.ack_join(pending, applied)
+    """Each node waits for all entries of its log; every fifth was taken in an earlier term, so it is never acknowledged."""
+    pending = log.join(st.select("node", "s"), "node").select((F.col("s") * 100 + F.col("idx")).alias("client"), "node", "idx", (F.col("term") - F.when((F.col("s") + F.col("idx")) % 5 == 0, 1).otherwise(0)).alias("term"))
+    return raft.ack_join(pending, raft.apply_range(st, log))
 
 
 QUERIES = {
@@ -152,11 +185,12 @@ QUERIES = {
     "sparse_index": _on_runs(runs.sparse_index),
     "sparse_seek": _probed(runs.sparse_seek),
     "value_utf8": _on_log(_value_utf8),
-    "rpc_get": lambda spark, d: state.rpc_get(state.fold(log_of(spark, d)), inputs.probes(spark)),
+    "rpc_get": _held(state.rpc_get),
     "kv_get_mem": _on_log(lambda m: state.fold(m.where("k = 'u42'"))),
-    "kv_multi_get": lambda spark, d: state.multi_get(state.fold(log_of(spark, d)), inputs.probes(spark)),
-    "kv_get_sst": _probed(runs.get),
-    "kv_get_sst_raw": _probed(runs.get_raw),
+    "kv_multi_get": _held(state.multi_get),
+    "kv_get_sst": _seen(runs.get),
+    "kv_get_sst_raw": _seen(runs.get_raw),
+    "sst_stored_get": _stored_get,
     "kv_get_layered": _get_layered,
     "kv_state": _on_log(state.fold),
     "kv_live": _on_log(state.live),
