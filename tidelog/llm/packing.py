@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm.common import n_words, table
+from tidelog.llm.common import n_words, table, written
 
 
 def best_boundaries(tops: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
@@ -70,5 +70,5 @@ def pack(docs: DataFrame, buckets: int = 12, batch_tokens: int = 1 << 16, salts:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packing of all documents by their number of words."""
-    return pack(table(spark, sf_dir, "documents").select("doc_id", n_words(F.col("text")).alias("n_tokens")))
+    """The packing of all documents by their number of words, which are counted once, into a written table."""
+    return pack(written(table(spark, sf_dir, "documents").select("doc_id", n_words(F.col("text")).alias("n_tokens"))))
