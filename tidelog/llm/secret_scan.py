@@ -17,7 +17,16 @@ DICTIONARY = "about access account admin archive article asset backup bank build
 NEAR_SECRET = "(?i)passw|pwd|secret|token|api.?key|access.?key|auth|credential|private|bearer"
 NEAR_HARMLESS = "(?i)example|sample|dummy|placeholder|commit|sha-?[0-9]|md5|checksum|hash|uuid|digest|integrity|revision|isbn|version|build|fixture"
 KNOWN_PREFIX = "^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|xox[abp]-|AIza|eyJ)"
-FEATURES = ("length", "transitions", "dictionary", "digits", "upper", "hex_only", "pathlike", "near_secret", "near_harmless", "known_prefix", "variety", "after_secret", "after_harmless")
+FEATURES = ("length", "class_changes", "known_transitions", "dictionary", "digits", "upper", "hex_only", "pathlike", "near_secret", "near_harmless", "known_prefix", "variety", "after_secret", "after_harmless")
+
+
+def known_transitions() -> str:
+    """A pattern of the letters that are followed by a letter which follows them in the dictionary's words too: a letter's transitions as one alternative."""
+    after: dict[str, set[str]] = {}
+    for word in DICTIONARY:
+        for a, b in zip(word, word[1:], strict=False):
+            after.setdefault(a, set()).add(b)
+    return "(?i)" + "|".join(f"{a}(?=[{''.join(sorted(b))}])" for a, b in sorted(after.items()))
 
 
 def features(c: Column, left: Column, right: Column, path: Column) -> list[Column]:
@@ -29,6 +38,7 @@ def features(c: Column, left: Column, right: Column, path: Column) -> list[Colum
     return [
         n,
         F.length(F.regexp_replace(c, "[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+", "x")) / n,
+        F.regexp_count(c, F.lit(known_transitions())) / F.greatest(F.lit(1.0), n - 1),
         share("(?i)" + "|".join(sorted(DICTIONARY, key=len, reverse=True))),
         share("[0-9]"),
         share("[A-Z]"),
@@ -44,7 +54,7 @@ def features(c: Column, left: Column, right: Column, path: Column) -> list[Colum
 
 
 def labelled_findings(n: int = 1200, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
-    """(candidate, left, right, path, label): findings as a reviewer would mark them, drawn by rule. n is the documented bound of the training set."""
+    """(candidate, left, right, path, label): findings drawn by rule and labelled by the rule that drew them. No labelled findings are given with the tables; a caller's own can be passed to scan. n is the bound of the training set."""
     rng = random.Random(seed)
     up, low, hexa, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     draw = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
@@ -138,21 +148,23 @@ def forest_probability(forest: list, values: list[Column]) -> Column:
 
 
 @lru_cache(maxsize=4)
-def _trained(app: str, n: int, seed: int) -> list:
-    """The forest on labelled_findings, its features taken by the same expressions that score."""
+def _trained(app: str, n: int, seed: int, given: tuple = ()) -> list:
+    """The forest on the given findings, or on labelled_findings, its features taken by the same expressions that score."""
     spark = SparkSession.active()
-    found = spark.createDataFrame(labelled_findings(n, seed), "c string, l string, r string, p string, y int")
-    rows = found.select("y", *features(F.col("c"), F.col("l"), F.col("r"), F.col("p"))).collect()  # n rows: the bound of labelled_findings
+    found = spark.createDataFrame(list(given) or labelled_findings(n, seed), "c string, l string, r string, p string, y int")
+    rows = found.select("y", *features(F.col("c"), F.col("l"), F.col("r"), F.col("p"))).collect()  # n rows: the bound of labelled_findings, or the caller's own list
     return fit_forest([[float(x) for x in r[1:]] for r in rows], [int(r[0]) for r in rows])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, threshold: float = 0.5, mask: str = "<SECRET>", n_train: int = 1200, seed: int = 7) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, threshold: float = 0.5, mask: str = "<SECRET>", n_train: int = 1200, seed: int = 7, findings: list[tuple[str, str, str, str, int]] | None = None) -> DataFrame:
     """docs with `findings` (candidate, left, probability), `secrets` (strings taken as real) and `clean_text` (each secret replaced by mask).
 
     Every candidate of every word is judged, each with its own neighbours before and after. One pass over whole texts, without a shuffle: candidates, neighbours and the forest are array expressions of the row. A
-    null text gives empty arrays and a null clean_text; repeated rows and null ids are scanned each by itself.
+    null text gives empty arrays and a null clean_text, an empty text empty arrays and an empty one; repeated rows and null ids are scanned each by itself. Columns of docs
+    named as those added are replaced. path: where a document comes from, for example its file or source. findings: labelled findings (candidate, text before, text after, path, 1 for a real
+    secret) to train on, a list in memory; without them n_train are drawn by rule.
     """
-    forest = _trained(docs.sparkSession.sparkContext.applicationId, n_train, seed)
+    forest = _trained(docs.sparkSession.sparkContext.applicationId, n_train, seed, tuple(findings or ()))
     where = F.lit("") if path is None else F.coalesce(path, F.lit(""))
     words = F.split(F.col(text_col), r"\s+")
     has = F.col(text_col).rlike(CANDIDATE)
@@ -195,5 +207,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many candidates, how many judged secret, their digest, and the digest of the masked text."""
-    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path=F.col("source"))
     return out.select("doc_id", F.size("findings").alias("n_candidates"), F.size("secrets").alias("n_secrets"), F.transform("secrets", lambda s: F.sha2(s, 256)).alias("secret_sha256"), F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
