@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -139,11 +140,28 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(labelled: DataFrame, sample: int = 6000, smooth: float = 1.0, blend: float = 0.25, cost: float = 1.0) -> dict:
-    """A model from (text, label 0/1) rows.
+def drawn_rows(labelled: DataFrame, sample: int, most_bytes: int) -> DataFrame:
+    """(text, label): at most sample / 2 different rows of each label, those with the least hashes of id and text, as far as their features keep to most_bytes in all; one of each label at least.
 
-    Log-count ratios are taken over every labelled row; the support vectors from at most about `sample` of them, drawn by a hash of the text:
-    that is the documented bound of the training set. With labels of one kind only, or none, the model is the constant share of ones (1 without any).
+    The draw is by row, so copies of one text under many ids count as any other rows; rows equal in id and text are one.
+    """
+    hashed = labelled.select("text", "label", F.xxhash64("id", "text", F.lit(3)).alias("h"))
+    size = F.lit(4) * F.least(F.octet_length("text") * 3 + 1, F.lit(DIM)).cast("long")
+    kinds = hashed.groupBy("label", "h").agg(F.min(size).alias("size"))
+    bounds = []
+    for y in (0, 1):
+        top = kinds.where(F.col("label") == y).orderBy("h").limit(max(1, sample // 2)).select("h", "size").collect()  # sample / 2 pairs of numbers
+        within = np.cumsum([r["size"] for r in top]) <= most_bytes // 2
+        if top:
+            bounds.append((F.col("label") == y) & (F.col("h") <= top[max(0, int(within.sum()) - 1)]["h"]))
+    return hashed.where(reduce(lambda a, b: a | b, bounds, F.lit(False))).dropDuplicates(["label", "h"]).select("text", "label")
+
+
+def fit(labelled: DataFrame, sample: int = 6000, most_bytes: int = 400_000_000, smooth: float = 1.0, blend: float = 0.25, cost: float = 1.0) -> dict:
+    """A model from (id, text, label 0/1) rows.
+
+    Log-count ratios are taken over every labelled row; the support vectors from the rows of drawn_rows: `sample` and `most_bytes` are the documented bounds of the training set,
+    whatever the size of the table. With labels of one kind only, or none, the model is the constant share of ones (1 without any).
     """
     sizes = {int(r["label"]): int(r["n"]) for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, ones = sum(sizes.values()), sizes.get(1, 0)
@@ -153,12 +171,9 @@ def fit(labelled: DataFrame, sample: int = 6000, smooth: float = 1.0, blend: flo
     chunks = part.groupBy("chunk").applyInPandas(_sum_counts, "chunk int, neg binary, pos binary").orderBy("chunk").collect()  # one row for each _CHUNK features
     neg, pos = (np.concatenate([np.frombuffer(r[k], dtype=np.int64) for r in chunks])[:DIM] + smooth for k in ("neg", "pos"))
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    cut = int(min(1.0, sample / n) * (1 << 20))
-    drawn = labelled.where(F.pmod(F.xxhash64(F.col("text"), F.lit(3)), F.lit(1 << 20)) < cut).select("text", "label").mapInPandas(_packed, "label int, ids binary").collect()  # bounded by sample
+    drawn = drawn_rows(labelled, sample, most_bytes).mapInPandas(_packed, "label int, ids binary").collect()  # bounded by sample and most_bytes
     drawn = sorted((r["label"], bytes(r["ids"])) for r in drawn)
     y = np.array([1.0 if a else -1.0 for a, _ in drawn])
-    if not len(y) or abs(y.sum()) == len(y):
-        return {"constant": (ones + 1) / (n + 2)}
     rows = [np.frombuffer(b, dtype=np.int32) for _, b in drawn]
     values = [ratio[r] / np.sqrt(len(r)) for r in rows]
     box = np.where(y > 0, cost * len(y) / (2 * (y > 0).sum()), cost * len(y) / (2 * (y < 0).sum()))
@@ -194,13 +209,13 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", into: str = "sco
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(text, label) of labelled documents outside the held-out fold (crc32 of the id as text, mod 4, is 2). Conflicting labels of an id count as 0; null ids and labels are left out.
+    """(id, text, label) of labelled documents outside the held-out fold (crc32 of the id as text, mod 4, is 2). Conflicting labels of an id count as 0; null ids and labels are left out.
 
     The labels' ids are broadcast only up to broadcast_rows of them, counted here; beyond that both sides are shuffled.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg((F.min(label_col) > 0).cast("int").alias("label"))
     known = F.broadcast(known) if labels.count() <= broadcast_rows else known
-    return docs.select(F.col(id_col).alias("_id"), "text").join(known, "_id").select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    return docs.select(F.col(id_col).alias("_id"), "text").join(known, "_id").select(F.col("_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "label")
 
 
 def held_out(doc_id):
