@@ -2,36 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.work import file_system, new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder and read again: lineage ends there, and a lost executor costs nothing. The table is deleted when the session's JVM ends."""
+def written(df: DataFrame, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """df as a table written to the shared folder and read again: lineage ends there, and a lost executor costs nothing. drop: written tables that nothing reads from now on; their files go. The rest goes when the session's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidelog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_folder(spark)
+    df.write.option("compression", "zstd").parquet(path)
+    for old in drop:
+        fs, at = file_system(spark, old._written_at)
+        fs.delete(at, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def lower_ascii(c: Column) -> Column:

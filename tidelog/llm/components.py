@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import written
@@ -17,7 +17,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    out = out.where("u <> v")
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -25,13 +26,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Nulls and loops in edges are left out; an empty edge table gives an empty result. A node's neighbourhood is never
     gathered: rounds are partial minima and joins, which the adaptive planner splits where a node is hot. Each round is
-    written to the shared folder. It ends when a round changes nothing.
+    written to the shared folder, where a count and a sum of hashes of its edges are taken on the way. It ends when these stay the same.
     """
-    e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct())
-    before = None
+    def kept(out: DataFrame, drop: tuple = ()) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        return written(out.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")), drop), seen.get
+
+    e, before = kept(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct())
     for _ in range(rounds):
-        e = written(_star(_star(e, True), False))
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
+        e, now = kept(_star(_star(e, True), False), (e,))
         if now == before:
             break
         before = now
