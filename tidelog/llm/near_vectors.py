@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import table, written
 from tidelog.llm.components import components
-from tidelog.llm.vectors import rotation, unit, valid_vectors
+from tidelog.llm.vectors import cosines, matrix, rotation, unit, valid_vectors
 
 
 def codes(dim: int, m: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -69,13 +69,18 @@ def decode_all(x: np.ndarray, books: list | None, m: int, tau: float, least: int
     return [np.concatenate(each) for each in zip(*lists, strict=True)]
 
 
-def _block(threshold: float):
+def _block(threshold: float, kind: str):
     """The links of one filter's block or pair of blocks for which this filter is the least that both vectors share: so each link counts once."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         here, c1, c2 = (int(k) for k in key)
-        x = unit(pdf["v"])
-        linked = x @ x.T >= threshold
+        x = unit(pdf["v"], kind)
+        sims = x @ x.T
+        linked = sims >= threshold
+        # rounding decides nothing: pairs at the threshold are taken again on the vectors as they were given
+        i, j = np.nonzero(np.triu(np.abs(sims - threshold) <= 1e-9, 1))
+        if len(i):
+            linked[i, j] = linked[j, i] = cosines(matrix(pdf["v"], kind), i, j) >= threshold
         np.fill_diagonal(linked, False)
         if c1 != c2:
             side = pdf["c"].to_numpy()
@@ -120,7 +125,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     any size; where the books would compare as much as all pairs do, all pairs are compared.
     """
     spark = vectors.sparkSession
-    valid, dim = valid_vectors(vectors, id_col, vec_col)
+    valid, dim, kind = valid_vectors(vectors, id_col, vec_col)
     valid = written(valid.groupBy("id").agg(F.min("v").alias("v")))
     nodes = written(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
     n = nodes.count()
@@ -131,7 +136,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
 
     def assign(batches):
         for b in batches:
-            lists = decode_all(unit(b["v"]), book.value, m, tau, least_filters) if len(b) else []
+            lists = decode_all(unit(b["v"], kind), book.value, m, tau, least_filters) if len(b) else []
             yield pd.DataFrame({"id": b["rep"], "w": b["w"], "v": b["v"], "filters": [f.tobytes() for f in lists], "f": [f.tolist() for f in lists]})
 
     if n:
@@ -142,7 +147,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         each = each.join(side, "f", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         each = each.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         each = each.withColumn("c1", F.least("c", "o")).withColumn("c2", F.greatest("c", "o"))
-        pairs = written(each.groupBy("f", "c1", "c2").applyInPandas(_block(threshold), "id long, links long, root long"))
+        pairs = written(each.groupBy("f", "c1", "c2").applyInPandas(_block(threshold, kind), "id long, links long, root long"))
     else:
         pairs = spark.createDataFrame([], "id long, links long, root long")
     degree = pairs.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
