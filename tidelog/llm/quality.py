@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import table, written
 
 #: Hashed features: BYTES for runs of raw bytes, as many for runs of byte classes, SHAPES for counts of repeated words.
 BYTES, SHAPES = 1 << 16, 64
@@ -147,7 +147,7 @@ def drawn_rows(labelled: DataFrame, sample: int, most_bytes: int) -> DataFrame:
     """
     hashed = labelled.select("text", "label", F.xxhash64("id", "text", F.lit(3)).alias("h"))
     size = F.lit(4) * F.least(F.octet_length("text") * 3 + 1, F.lit(DIM)).cast("long")
-    kinds = hashed.groupBy("label", "h").agg(F.min(size).alias("size"))
+    kinds = written(hashed.groupBy("label", "h").agg(F.min(size).alias("size")))
     bounds = []
     for y in (0, 1):
         top = kinds.where(F.col("label") == y).orderBy("h").limit(max(1, sample // 2)).select("h", "size").collect()  # sample / 2 pairs of numbers
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", into: str = "sco
     return docs.withColumn(into, of(F.col(text_col)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", broadcast_rows: int = 2_000_000) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id, text, label) of labelled documents outside the held-out fold (crc32 of the id as text, mod 4, is 2). Conflicting labels of an id count as 0; null ids and labels are left out.
 
     The labels' ids are broadcast only up to broadcast_rows of them, counted here; beyond that both sides are shuffled.
