@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +24,10 @@ _MIX1, _MIX2, _S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 
 
 class _Words(dict):
-    """Word to 64-bit hash; forgets all when it holds a million words, so that its memory is bounded."""
+    """Word to 64-bit hash; forgets all when it holds 150,000 words, so that its memory is bounded: workers live on and keep it."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -73,70 +74,87 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def _repeated_counts(docs: DataFrame, words: int, buckets: int, parts: int, flush: int = 1_500_000) -> DataFrame:
-    """(key, r): in how many of its shingles, at least, a set meets other sets; r is over all buckets but for sets with 0.
+def _repeated_counts(docs: DataFrame, words: int, buckets: int, parts: int, flush: int = 1_000_000) -> DataFrame:
+    """(key, r): in how many of its shingles, at most, a set meets other sets; sets without any are left out. A set that one run of `flush` hashes holds whole is counted exactly; copies of a set in several runs may count a shingle once for each.
 
-    Hashes are dealt into buckets, packed by the task that makes them: a row holds many sets' hashes of one bucket. Equal sets have one key and so never count as others. A bucket's
+    A task first counts among its own sets, in runs of about `flush` hashes: a shingle that several of a run's sets have is known to be met, and goes on once, as a name without sets. So a shingle in
+    very many documents is a row a run, not a row a document. All others are dealt into buckets of the hash, packed: a row holds many sets' hashes of one bucket. Equal sets have one key and so never count as others. A bucket's
     counts go on packed too, a row for each of `parts` shares of the keys, so the rows in between don't grow with sets times buckets.
     """
 
+    def shares(keys: np.ndarray, counts: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+        """(part, keys, counts) of the counts above 0."""
+        some = np.flatnonzero(counts)
+        keys, counts, part = keys[some], counts[some].astype(np.int32), keys[some] % parts
+        order = np.argsort(part, kind="stable")
+        cuts = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
+        return [(int(part[i[0]]), keys[i].tobytes(), counts[i].tobytes()) for i in cuts]
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: list[np.ndarray] = []
+        sets: dict[int, np.ndarray] = {}
         held = 0
 
         def rows():
-            h = np.concatenate(sets)
-            key = np.array([_key8(s) for s in sets], dtype=np.int64)
-            doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            key, h = np.fromiter(sets, dtype=np.int64, count=len(sets)), np.concatenate(list(sets.values()))
+            doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets.values()])
+            order = np.argsort(h, kind="stable")
+            ordered = h[order]
+            same = ordered[1:] == ordered[:-1]
+            met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            out = [(-1 - part, b"", k, c, b"") for part, k, c in shares(key, np.bincount(doc[order[met]], minlength=len(key)))]
+            names = ordered[met & np.concatenate([[True], ~same])]
+            alone = np.zeros(len(h), dtype=bool)
+            alone[order[~met]] = True
+            h, doc = h[alone], doc[alone]
             b = _bucket(h, buckets)
             order = np.argsort(b.astype(np.uint16) if buckets <= 65536 else b, kind="stable")
             h, doc, b = h[order], doc[order], b[order]
-            at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            ends = np.append(at[1:], len(b))
-            out = []
-            for s, e in zip(at, ends, strict=True):
+            of_names = _bucket(names, buckets)
+            for bucket in np.union1d(b, of_names):
+                s, e = np.searchsorted(b, bucket), np.searchsorted(b, bucket, side="right")
+                s2, e2 = np.searchsorted(of_names, bucket), np.searchsorted(of_names, bucket, side="right")
                 d = doc[s:e]
-                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, dtype=np.int64)
                 runs = np.diff(np.append(first, len(d))).astype(np.uint32)
-                out.append((int(b[s]), h[s:e].astype(np.uint32).tobytes(), key[d[first]].tobytes(), runs.tobytes()))
-            return pd.DataFrame(out, columns=["bucket", "tokens", "keys", "runs"])
+                out.append((int(bucket), h[s:e].astype(np.uint32).tobytes(), key[d[first]].tobytes(), runs.tobytes(), names[s2:e2].astype(np.uint32).tobytes()))
+            return pd.DataFrame(out, columns=["bucket", "tokens", "keys", "runs", "names"])
 
         for batch in batches:
             for t in batch["text"]:
-                if len(s := shingles(t, words)):
-                    sets.append(s)
+                if len(s := shingles(t, words)) and (k := _key8(s)) not in sets:
+                    sets[k] = s
                     held += len(s)
                 if held >= flush:
                     yield rows()
-                    sets, held = [], 0
+                    sets, held = {}, 0
         if sets:
             yield rows()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, doc = np.unique(np.frombuffer(b"".join(pdf["keys"]), dtype=np.int64), return_inverse=True)
         runs = np.frombuffer(b"".join(pdf["runs"]), dtype=np.uint32)
-        tokens = np.frombuffer(b"".join(pdf["tokens"]), dtype=np.uint32).astype(np.uint64)
-        pair = tokens << np.uint64(32) | np.repeat(doc.astype(np.uint64), runs)
-        pair.sort()
-        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
-        token = pair >> np.uint64(32)
-        same = token[1:] == token[:-1]
-        met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        r = np.bincount((pair[met] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(keys))
-        some = np.flatnonzero(r)
-        keys, r, part = keys[some], r[some], keys[some] % parts
-        order = np.argsort(part, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0])) if len(order) else order
-        ends = np.append(at[1:], len(order))
-        cut = [order[s:e] for s, e in zip(at, ends, strict=True)] if len(order) else []
-        return pd.DataFrame([(int(part[i[0]]), keys[i].tobytes(), r[i].astype(np.int32).tobytes()) for i in cut], columns=["part", "keys", "counts"])
+        if pdf["bucket"].iloc[0] < 0:  # what tasks counted themselves
+            out = shares(keys, np.bincount(doc, weights=runs, minlength=len(keys)))
+        else:
+            tokens = np.frombuffer(b"".join(pdf["tokens"]), dtype=np.uint32).astype(np.uint64)
+            pair = tokens << np.uint64(32) | np.repeat(doc.astype(np.uint64), runs)
+            pair.sort()
+            pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
+            token = pair >> np.uint64(32)
+            same = token[1:] == token[:-1]
+            met = np.zeros(len(token), dtype=bool)
+            met[1:] |= same
+            met[:-1] |= same
+            met |= np.isin(token, np.frombuffer(b"".join(pdf["names"]), dtype=np.uint32).astype(np.uint64))
+            out = shares(keys, np.bincount((pair[met] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(keys)))
+        return pd.DataFrame(out, columns=["part", "keys", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, which = np.unique(np.frombuffer(b"".join(pdf["keys"]), dtype=np.int64), return_inverse=True)
         r = np.bincount(which, weights=np.frombuffer(b"".join(pdf["counts"]), dtype=np.int32))
         return pd.DataFrame({"key": keys, "r": r.astype(np.int64)})
 
-    dealt = docs.select("text").mapInPandas(deal, "bucket int, tokens binary, keys binary, runs binary")
+    dealt = docs.select("text").mapInPandas(deal, "bucket int, tokens binary, keys binary, runs binary, names binary")
     counted = dealt.groupBy("bucket").applyInPandas(count, "part int, keys binary, counts binary")
     return counted.groupBy("part").applyInPandas(add, "key long, r long")
 
@@ -146,8 +164,27 @@ def _least_common(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
-def _rarities(sets: DataFrame, buckets: int) -> DataFrame:
-    """(id, rarity): for each of the set's sorted hashes a byte, 0 if no other set has it, else the rounded log2 of how many have it."""
+def _rarities(sets: DataFrame, buckets: int, bucket_tokens: int) -> DataFrame:
+    """(id, rarity): for each of the set's sorted hashes a byte, 0 if no other set has it, else the rounded log2 of how many have it.
+
+    Hashes are counted by task first and then by bucket, so a hash that very many sets have is a row a task. The sets' own rows then meet their bucket's counts; a bucket that hot hashes
+    make large is salted by set, and its counts are repeated for each salt.
+    """
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                h, n = np.unique(np.concatenate([np.frombuffer(raw, dtype=np.uint64) for raw in b["hashes"]]), return_counts=True)
+                where = _bucket(h, buckets)
+                cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+                out = [(int(where[s]), h[s:e].tobytes(), n[s:e].astype(np.int32).tobytes(), int(n[s:e].sum())) for s, e in zip(cuts, np.append(cuts[1:], len(h)), strict=True)]
+                yield pd.DataFrame(out, columns=["bucket", "hashes", "counts", "total"])
+
+    def levels(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, which = np.unique(np.frombuffer(b"".join(pdf["hashes"]), dtype=np.uint64), return_inverse=True)
+        n = np.bincount(which, weights=np.frombuffer(b"".join(pdf["counts"]), dtype=np.int32))
+        level = np.ceil(np.log2(np.maximum(n, 1))).astype(np.uint8)
+        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "hashes": [h[level > 0].tobytes()], "levels": [level[level > 0].tobytes()], "salts": [max(1, int(pdf["total"].sum() // (2 * bucket_tokens)))]})
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -159,14 +196,20 @@ def _rarities(sets: DataFrame, buckets: int) -> DataFrame:
                 out += [(i, int(where[s]), h[s:e].tobytes()) for s, e in zip(at, np.append(at[1:], len(h)), strict=True)]
             yield pd.DataFrame(out, columns=["id", "bucket", "part"])
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.frombuffer(b"".join(pdf["part"]), dtype=np.uint64)
-        _, which, n = np.unique(h, return_inverse=True, return_counts=True)
-        level = np.ceil(np.log2(n)).astype(np.uint8)[which]
-        ends = np.cumsum([len(x) // 8 for x in pdf["part"]])
-        return pd.DataFrame({"id": pdf["id"], "bucket": pdf["bucket"], "level": [level[s:e].tobytes() for s, e in zip(np.append(0, ends[:-1]), ends, strict=True)]})
-
-    parts = sets.select("id", "hashes").mapInPandas(deal, "id long, bucket int, part binary").groupBy("bucket").applyInPandas(count, "id long, bucket int, level binary")
+    def look(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return pd.DataFrame({"id": [], "bucket": [], "level": []})
+        h = np.frombuffer(b"".join(own["part"]), dtype=np.uint64)
+        names, level = (np.frombuffer(known[c].iloc[0], dtype=kind) for c, kind in (("hashes", np.uint64), ("levels", np.uint8)))
+        at = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
+        found = np.where(names[at] == h, level[at], 0).astype(np.uint8) if len(names) else np.zeros(len(h), dtype=np.uint8)
+        ends = np.cumsum([len(x) // 8 for x in own["part"]])
+        return pd.DataFrame({"id": own["id"], "bucket": own["bucket"], "level": [found[s:e].tobytes() for s, e in zip(np.append(0, ends[:-1]), ends, strict=True)]})
+
+    known = written(sets.select("hashes").mapInPandas(tally, "bucket int, hashes binary, counts binary, total long").groupBy("bucket").applyInPandas(levels, "bucket int, hashes binary, levels binary, salts int"))
+    own = sets.select("id", "hashes").mapInPandas(deal, "id long, bucket int, part binary").join(known.select("bucket", "salts"), "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    parts = own.select("id", "bucket", "salt", "part").groupBy("bucket", "salt").cogroup(spread.select("bucket", "salt", "hashes", "levels").groupBy("bucket", "salt")).applyInPandas(look, "id long, bucket int, level binary")
     return parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "level"))).alias("x")).select("id", F.aggregate("x", F.lit(b""), lambda a, e: F.concat(a, e["level"])).alias("rarity"))
 
 
@@ -188,37 +231,56 @@ def _prefixes(percent: int):
     return run
 
 
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of 64-bit words for each set: the bits that its hashes set."""
+    maps = np.zeros((len(sets), bits // 8), dtype=np.uint8)
+    for row, s in zip(maps, sets, strict=True):
+        on = np.zeros(bits, dtype=bool)
+        on[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+        row[:] = np.packbits(on)
+    return maps.view(np.uint64)
+
+
+def bits_for(largest: int) -> int:
+    """Bits of a bitmap that tells sets of up to so many hashes apart: a power of two of four times as many, from 256 to 65,536."""
+    return int(np.clip(1 << int(4 * max(largest, 1) - 1).bit_length(), 256, 1 << 16))
+
+
 class SignatureTree:
-    """Levels of nodes over sets, the sets themselves first; a node has its bitmap, the least and greatest size, and the greatest number of hashes that share a bit."""
+    """Levels of nodes over leaves, the leaves first. A node has the OR of the bitmaps below it, the least and greatest size, the greatest number of hashes that share a bit, and the least and greatest class.
 
-    def __init__(self, sets: list[np.ndarray], fanout: int = 4) -> None:
-        sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        bits = int(np.clip(1 << int(4 * max(int(sizes.max()), 1) - 1).bit_length(), 256, 1 << 16))
-        maps = np.zeros((len(sets), bits // 8), dtype=np.uint8)
-        for row, s in zip(maps, sets, strict=True):
-            on = np.zeros(bits, dtype=bool)
-            on[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-            row[:] = np.packbits(on)
-        maps = maps.view(np.uint64)
-        slack = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-        self.fanout, self.levels = fanout, [(maps, sizes, sizes, slack)]
+    Leaves are sets, or nodes made elsewhere of many sets. Two nodes all of whose sets are of one class can give nothing new.
+    """
+
+    def __init__(self, maps: np.ndarray, lo: np.ndarray, hi: np.ndarray, slack: np.ndarray, first: np.ndarray, last: np.ndarray, fanout: int = 4) -> None:
+        self.fanout, self.levels, self.visited = fanout, [(maps, lo, hi, slack, first, last)], 0
         while len(self.levels[-1][0]) > 1:
-            m, lo, hi, sl = self.levels[-1]
-            at = np.arange(0, len(m), fanout)
-            self.levels.append((np.bitwise_or.reduceat(m, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(sl, at)))
+            below = self.levels[-1]
+            at = np.arange(0, len(below[0]), fanout)
+            how = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
+            self.levels.append(tuple(f.reduceat(x, at) for f, x in zip(how, below, strict=True)))
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray], classes: np.ndarray) -> SignatureTree:
+        """The tree whose leaves are these sets."""
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        maps = bitmaps(sets, bits_for(int(sizes.max())))
+        return cls(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64), classes, classes)
 
     def possible(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        """Whether sets below node a and node b can have the overlap that a link needs."""
-        m, lo, hi, slack = self.levels[level]
+        """Whether sets below node a and node b can have the overlap that a link needs, and aren't all of one class."""
+        m, lo, hi, slack, first, last = self.levels[level]
+        self.visited += len(a)
         need = np.maximum(-(-percent * (lo[a] + lo[b]) // (100 + percent)), _least_common(np.maximum(lo[a], lo[b]), percent))
         ok = (np.minimum(hi[a], hi[b]) >= need) & (hi[a] * 100 >= percent * lo[b]) & (hi[b] * 100 >= percent * lo[a])
+        ok &= (np.minimum(first[a], first[b]) != np.maximum(last[a], last[b]))
         for s in range(0, len(a), 4096):
             k = np.flatnonzero(ok[s : s + 4096]) + s
             ok[k] = np.bitwise_count(m[a[k]] & m[b[k]]).sum(axis=1, dtype=np.int64) + np.minimum(slack[a[k]], slack[b[k]]) >= need[k]
         return ok
 
     def candidates(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of different sets that the dual traversal, from the root against itself, can't prune."""
+        """All pairs of different leaves that the dual traversal, from the root against itself, can't prune."""
         a = b = np.zeros(1, dtype=np.int64)
         for level in range(len(self.levels) - 1, 0, -1):
             keep = self.possible(level, a, b, percent)
@@ -234,14 +296,16 @@ class SignatureTree:
         return a[keep], b[keep]
 
 
-def join_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (id, id) that connect whatever the links among these sets connect. With sides given, only pairs across them are compared.
+def join_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, classes: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links between classes, class of each set) that connect whatever the links among these sets connect. With sides given, only pairs across them are compared.
 
-    A pair of sets that earlier links connect isn't verified again, so a group of copies costs a link for each member.
+    classes: those that earlier links make, by default a set's id; a set's class in the end is the least of those connected. Sets of one class aren't verified again, so a group
+    of copies costs a link for each member.
     """
     order = sorted(range(len(ids)), key=lambda i: (int(sets[i][0]), len(sets[i])))
-    tree = SignatureTree([sets[i] for i in order])
-    parent = list(range(len(order)))
+    classes = np.asarray(ids if classes is None else classes, dtype=np.int64)
+    tree = SignatureTree.of([sets[i] for i in order], classes[order])
+    parent: dict[int, int] = {c: c for c in classes.tolist()}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -251,59 +315,127 @@ def join_sets(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.nd
 
     out = []
     for x, y in zip(*(v.tolist() for v in tree.candidates(percent)), strict=True):
-        if side is not None and side[order[x]] == side[order[y]]:
+        x, y = order[x], order[y]
+        if side is not None and side[x] == side[y]:
             continue
-        p, q = root(x), root(y)
+        p, q = root(int(classes[x])), root(int(classes[y]))
         if p != q:
-            s, t = sets[order[x]], sets[order[y]]
+            s, t = sets[x], sets[y]
             common = len(np.intersect1d(s, t, assume_unique=True))
             if 100 * common >= percent * (len(s) + len(t) - common):
                 parent[max(p, q)] = min(p, q)
-                out.append((int(ids[order[x]]), int(ids[order[y]])))
-    return out
+                out.append((max(p, q), min(p, q)))
+    return out, np.array([root(c) for c in classes.tolist()], dtype=np.int64)
+
+
+def _blocked(block: int, block_tokens: int):
+    """Cuts a task's sets, which come in order, into blocks of at most `block` sets and about block_tokens hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, held, tokens = TaskContext.get().partitionId() << 32, 0, 0
+        for b in batches:
+            out = []
+            for n in b["n"]:
+                if held >= block or tokens >= block_tokens:
+                    number, held, tokens = number + 1, 0, 0
+                held, tokens = held + 1, tokens + n
+                out.append(number)
+            yield b[["component", "id", "n", "hashes"]].assign(block=out)
+
+    return run
+
+
+def _inside(percent: int):
+    """The class of each set of a block by the links inside its part and block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[["component", "block", "id"]].assign(**{"class": pdf["id"]})
+        for _, at in pdf.groupby("component", sort=False).indices.items():
+            if len(at) > 1:
+                out.iloc[at, 3] = join_sets(pdf["id"].to_numpy()[at], [np.frombuffer(x, dtype=np.uint64) for x in pdf["hashes"].to_numpy()[at]], percent)[1]
+        return out
+
+    return run
+
+
+def _across(percent: int):
+    """The links between classes across the two blocks of a pair."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["hashes"]]
+        return pd.DataFrame(join_sets(pdf["id"].to_numpy(), sets, percent, pdf["block"].to_numpy(), pdf["class"].to_numpy())[0], columns=["a", "b"])
+
+    return run
+
+
+def _node(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's share of a part as one node of the part's tree."""
+    n = pdf["n"].to_numpy()
+    maps = bitmaps([np.frombuffer(x, dtype=np.uint64) for x in pdf["hashes"]], bits_for(int(pdf["largest"].iloc[0])))
+    slack = int((n - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)).max())
+    one = pdf.iloc[0]
+    return pd.DataFrame({"component": [one["component"]], "block": [one["block"]], "map": [np.bitwise_or.reduce(maps, axis=0).tobytes()], "lo": [n.min()], "hi": [n.max()], "slack": [slack]})
+
 
+def _pairs_of_part(percent: int):
+    """The pairs of a part's blocks that the dual traversal of the tree over its nodes can't prune."""
 
-def _join_part(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in pdf.groupby("part", sort=False):
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in g["hashes"]]
-            side = g["block"].to_numpy() if g["cross"].iloc[0] else None
-            out += join_sets(g["id"].to_numpy(), sets, percent, side)
-        return pd.DataFrame(out, columns=["a", "b"])
+        pdf = pdf.sort_values("block")
+        maps = np.frombuffer(b"".join(pdf["map"]), dtype=np.uint64).reshape(len(pdf), -1)
+        tree = SignatureTree(maps, *(pdf[c].to_numpy().astype(np.int64) for c in ("lo", "hi", "slack", "first", "last")))
+        a, b = tree.candidates(percent)
+        blocks = pdf["block"].to_numpy()
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "low": blocks[a], "high": blocks[b]})
 
     return run
 
 
-def _links(sets: DataFrame, parts: DataFrame, percent: int, block: int) -> DataFrame:
-    """Edges (a, b) that connect what links connect. sets: id, n, hashes. parts: node, component.
+def _links(sets: DataFrame, parts: DataFrame, percent: int, block: int, block_tokens: int = 1_000_000) -> DataFrame:
+    """Edges (a, b) between sets or their classes that connect what links connect. sets: id, n, first (the least hash), hashes. parts: node, component.
 
-    A part of at most `block` sets is joined in one tree; small parts share tasks. A larger one is dealt by hash into
-    blocks, and every pair of blocks is joined. Within it sets of sizes too far apart are kept apart: size bands are a
-    factor 100/percent wide, so links lie within a band or between neighbours.
+    Sets are put in order of part and least hash, so that like sets lie together, and cut into blocks; each block is joined by trees, one for each part it
+    holds. Parts of more than one block go on: first all their blocks meet the part's first one. Then a tree over the part's blocks, whose nodes also know the classes that the links so
+    far make, gives the pairs of blocks that can still connect anything, and these are joined. A large group of near copies is of one class by then, and costs no pairs.
     """
-    step = float(np.log(100 / percent))
-    x = sets.join(parts, sets["id"] == parts["node"]).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
-    sizes = written(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block))
-    near = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
-    x = x.join(near, "component", "left")
-    small = x.where(F.col("size").isNull())
-    tasks = F.lit(max(1, -(-parts.count() // block)))
-    small = small.select(F.pmod(F.xxhash64("component"), tasks).cast("string").alias("task"), F.col("component").cast("string").alias("part"), F.lit(0).alias("block"), F.lit(False).alias("cross"), "id", "hashes")
-    large = x.where(F.col("size").isNotNull()).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("c", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # block number: chunk within its band; a set meets the chunks of its own band, and those of the bands below and above
-    large = large.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    low, high = F.least("band", F.col("band") + F.col("d")), F.greatest("band", F.col("band") + F.col("d"))
-    mine_first = (F.col("d") > 0) | ((F.col("d") == 0) & (F.col("c") <= F.col("o")))
-    first, second = F.when(mine_first, F.col("c")).otherwise(F.col("o")), F.when(mine_first, F.col("o")).otherwise(F.col("c"))
-    key = F.concat_ws("/", "component", low, first, high, second)
-    cross = (F.col("d") != 0) | (F.col("c") != F.col("o"))
-    large = large.select(key.alias("task"), key.alias("part"), F.when(F.col("d") != 0, F.col("band")).otherwise(F.col("c")).alias("block"), cross.alias("cross"), "id", "hashes")
-    return small.unionByName(large).groupBy("task").applyInPandas(_join_part(percent), "a long, b long")
+    x = sets.join(parts, sets["id"] == parts["node"]).select("component", "id", "n", "first", "hashes")
+    x = written(x.repartitionByRange("component", "first", "id").sortWithinPartitions("component", "first", "id").mapInPandas(_blocked(block, block_tokens), "component long, id long, n long, hashes binary, block long"))
+    of = written(x.groupBy("block").applyInPandas(_inside(percent), "component long, block long, id long, class long"))
+    stars = of.where("id <> class").select(F.col("id").alias("a"), F.col("class").alias("b"))
+    large = written(x.groupBy("component").agg(F.min("block").alias("hub"), F.max("block").alias("end"), F.max("n").alias("largest")).where("hub < end").select("component", "hub", "largest"))
+    if not large.limit(1).count():
+        return stars
+    x = x.join(large, "component")
+    nodes = written(x.groupBy("component", "block").applyInPandas(_node, "component long, block long, map binary, lo long, hi long, slack long"))
+
+    def known(classes: DataFrame) -> DataFrame:
+        """The nodes with the least and greatest class of their sets."""
+        return nodes.join(classes.groupBy("component", "block").agg(F.min("class").alias("first"), F.max("class").alias("last")), ["component", "block"])
+
+    def joined(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The links between classes across pairs of blocks (component, low, high)."""
+        sides = pairs.select("component", "low", "high", F.explode(F.array("low", "high")).alias("block"))
+        sets_of = x.select("component", "block", "id", "hashes").join(sides, ["component", "block"]).join(classes.select("id", "class"), "id")
+        return written(sets_of.groupBy("component", "low", "high").applyInPandas(_across(percent), "a long, b long"))
+
+    classes = of.join(large.select("component"), "component", "left_semi")
+    hubs = known(classes).join(large, "component")
+    hub = hubs.where("block = hub").select("component", F.col("first").alias("f"), F.col("last").alias("l"))
+    spokes = written(hubs.where("block > hub").join(hub, "component").where("least(first, f) < greatest(last, l)").select("component", F.col("hub").alias("low"), F.col("block").alias("high")))
+    if not spokes.limit(1).count():
+        return stars
+    cross = joined(spokes, classes)
+    now = components(cross)
+    classes = written(classes.join(now, classes["class"] == now["node"], "left").select(classes["component"], "block", "id", F.coalesce(now["component"], "class").alias("class")))
+    pairs = known(classes).groupBy("component").applyInPandas(_pairs_of_part(percent), "component long, low long, high long")
+    rest = written(pairs.join(large, "component").where("low > hub").select("component", "low", "high"))
+    if rest.limit(1).count():
+        cross = cross.unionByName(joined(rest, classes))
+    return stars.unionByName(cross)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bucket_tokens: int = 2_000_000, block: int = 256, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs.
+    """(id, n_shingles, component_id) for every row of docs. Components are exact; of the links only so many are made as connect them.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of word runs; component_id is the smallest id
     reachable by links. Documents without words (null, empty or white space) link with nothing and are their own component. Equal
@@ -322,11 +454,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [s for t in b["text"] if len(s := shingles(t, words))]
-            yield pd.DataFrame({"id": [_key8(s) for s in sets], "n": [len(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"id": [_key8(s) for s in sets], "n": [len(s) for s in sets], "first": [int(s[0].astype(np.int64)) for s in sets], "hashes": [s.tobytes() for s in sets]})
 
-    sets = written(chosen.mapInPandas(full, "id long, n long, hashes binary").join(alive, F.col("id") == F.col("key"), "left_semi").dropDuplicates(["id"]))
+    sets = written(chosen.mapInPandas(full, "id long, n long, first long, hashes binary").join(alive, F.col("id") == F.col("key"), "left_semi").dropDuplicates(["id"]))
     size = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    rare = _rarities(sets, max(16, -(-size // bucket_tokens)))
+    rare = _rarities(sets, max(16, -(-size // bucket_tokens)), bucket_tokens)
     prefix = written(sets.select("id", "hashes").join(rare, "id").mapInPandas(_prefixes(percent), "id long, h long"))
     least = prefix.groupBy("h").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "m")
     parts = components(prefix.join(least, "h").select(F.col("id").alias("a"), F.col("m").alias("b")))
@@ -334,7 +466,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     inside = nodes.join(joined, nodes["key"] == joined["node"]).select("key", "rep", "component")
     first = inside.groupBy("component").agg(F.min("rep").alias("first"))
     found = inside.join(first, "component").select(F.col("key").alias("_k"), "first")
-    of = nodes.join(found, nodes["key"] == F.col("_k"), "left").select(F.col("key").alias("_key"), F.coalesce("first", "rep").alias("component"))
+    of = written(nodes.join(found, nodes["key"] == F.col("_k"), "left").select(F.col("key").alias("_key"), F.coalesce("first", "rep").alias("component")))
     out = keys.join(of, keys["key"] == of["_key"], "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
