@@ -1,7 +1,12 @@
 """Quality classifier, HTML extraction, and the pipeline."""
 
+import os
 import random
+import time
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +44,37 @@ def test_labels_of_one_kind_or_none(spark):
         assert len(got) == 20 and len({r["score"] for r in got}) == 1
 
 
+def test_the_draw_is_bounded_and_keeps_both_labels(spark):
+    docs, labels = corpus(spark, 200)
+    rows = quality.training_rows(docs, labels)
+    again = rows.unionByName(rows.where("label = 1")).unionByName(spark.range(300).selectExpr("id + 5000 as id", "'one boilerplate text' as text", "1 as label"))
+    drawn = [tuple(r) for r in quality.drawn_rows(again, 40, 10**9).collect()]
+    assert sum(y for _, y in drawn) == 20 and sum(1 - y for _, y in drawn) == 20
+    few = quality.drawn_rows(again, 40, 2_000).collect()
+    assert {r["label"] for r in few} == {0, 1} and len(few) < 40
+    for sample, most in ((2, 10**9), (6000, 1)):
+        assert "coef" in quality.fit(again, sample=sample, most_bytes=most)
+    many = spark.range(300).selectExpr("id", "'the same text' as text", "1 as label").unionByName(rows.where("label = 0"))
+    assert "coef" in quality.fit(many)
+
+
+def test_dual_descent_reaches_the_least_loss():
+    """The hinge loss by dual descent is that of a slow subgradient descent on the primal, to a thousandth."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(80, 6))
+    y = np.where(x @ rng.normal(size=6) + 0.8 * rng.normal(size=80) > 0, 1.0, -1.0)
+    cost = np.where(y > 0, 0.7, 1.3)
+    w = quality.dual_descent([np.arange(6)] * 80, list(x), y, cost, 6, epochs=3000)
+    ones = np.column_stack([x, np.ones(80)])
+    loss = lambda v: 0.5 * v @ v + cost @ np.maximum(0, 1 - y * (ones @ v))
+    best, v = np.inf, np.zeros(7)
+    for step in range(1, 60_000):
+        bad = y * (ones @ v) < 1
+        v = v - (v - ((cost * y)[bad] @ ones[bad])) / (step + 10)
+        best = min(best, loss(v))
+    assert loss(w) <= best * 1.001
+
+
 def test_indicators_are_distinct_and_whole():
     ids = quality.indicators("Le Le Le Le")
     assert len(set(ids.tolist())) == len(ids) and ids[-1] == 2 * quality.BYTES + quality.SHAPES - 1
@@ -74,6 +110,89 @@ def test_articles_of_copies_are_kept(spark):
     assert {r["text"] for r in got.collect()} == {"One.\nTwo."}
 
 
+def test_hostile_markup_takes_time_in_proportion():
+    for bad in ("<a \"'", "<a<a", "<b>", "<b></x>", "<p>", "<b><hr>", '<a ">"', "<script", "<!--", "<li><b>"):
+        began = time.process_time()
+        html_text.blocks(bad * (300_000 // len(bad)) + ">")
+        assert time.process_time() - began < 5, bad
+    assert html_text.blocks("x <a \"' y <b>bold</b> <p>z") == [(html_text.OPEN, "x bold"), (html_text.OPEN, "z")]
+
+
+def test_long_pages_in_little_memory():
+    rng = random.Random(2)
+    a, b = ([rng.randrange(10**9) if rng.random() < 0.5 else i % 700 for i in range(20_000)] for _ in range(2))
+    tracemalloc.start()
+    got = html_text.common_lines(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000 and len(got) > 4000
+    tracemalloc.stop()
+
+
+def brute_extract(pages, window=4, copied=0.9):
+    """Every page's text by plain loops: (page_id, text)."""
+    seen = {}
+    for _, host, path, page in pages:
+        parts = tuple(html_text.blocks(page))
+        if parts:
+            seen[host, parts] = min(seen.get((host, parts), path), path)
+
+    def digest(parts):  # pages at one path are in order of their digest
+        return next(html_text._parse([pd.DataFrame({"page_id": [1], "url": [""], "host": [""], "path": [""], "html": ["".join(f"<p>{t}" for _, t in parts)]})]))["digest"][0]
+
+    order = sorted(seen, key=lambda k: (k[0], seen[k], digest(k[1])))
+    gone = {}
+    for i, (host, parts) in enumerate(order):
+        best = []
+        for j in range(max(0, i - window), min(len(order), i + window + 1)):
+            h, other = order[j]
+            lines = {t for _, t in other}
+            open_ = [t for z, t in parts if z == html_text.OPEN]
+            if j != i and h == host and sum(len(t) for t in open_ if t in lines) < copied * sum(map(len, open_)):
+                same = len(os.path.commonprefix([seen[host, parts], seen[h, other]]))
+                best.append((-same, abs(i - j), j - i, j))
+        if best:
+            other = [t for _, t in order[min(best)[-1]][1]]
+            a = [t for _, t in parts]
+            d = [[0] * (len(other) + 1) for _ in range(len(a) + 1)]
+            for x in range(len(a)):
+                for y in range(len(other)):
+                    d[x + 1][y + 1] = d[x][y] + 1 if a[x] == other[y] else max(d[x][y + 1], d[x + 1][y])
+            x, y = len(a), len(other)
+            lost = set()
+            while x and y:
+                if a[x - 1] == other[y - 1]:
+                    lost.add(x - 1)
+                    x, y = x - 1, y - 1
+                elif d[x - 1][y] >= d[x][y - 1]:
+                    x -= 1
+                else:
+                    y -= 1
+            gone[host, parts] = lost
+    return sorted((i, "\n".join(t for k, (z, t) in enumerate(html_text.blocks(p)) if z == html_text.ARTICLE or z == html_text.OPEN and k not in gone.get((h, tuple(html_text.blocks(p))), ()))) for i, h, _, p in pages)
+
+
+def test_extract_is_as_by_brute_force(spark):
+    """Lines are in one order on all pages of a host, so that their longest common subsequence is unique."""
+    rng = random.Random(8)
+    pages = []
+    for i in range(160):
+        frame = [f"<div>frame {k}</div>" for k in range(6) if rng.random() < 0.7]
+        text = [f"<p>text {rng.randrange(4 if i % 5 == 0 else 10**6)} of page</p>" for _ in range(rng.randrange(4))]
+        pages.append((i, rng.choice(["a.com", "a.com", "b.com"]), f"/{rng.randrange(3)}/{i:04d}", "".join([*frame[:3], *dict.fromkeys(text), *frame[3:], "<nav>menu</nav>" * (i % 2)])))
+    pages += [(200 + k, "a.com", f"/0/copy{k}", pages[0][3]) for k in range(12)]
+    docs = spark.createDataFrame([(i, f"http://{h}{p}", x) for i, h, p, x in pages], "page_id long, url string, html string")
+    want = brute_extract(pages)
+    for parts in (1, 5):
+        assert sorted((r["page_id"], r["text"]) for r in html_text.extract(docs.repartition(parts)).collect()) == want
+
+
+def test_a_copy_is_no_pair(spark):
+    frame = "<div>Top of the whole site</div>{}<div>End of the whole site</div>"
+    own = "".join(f"<p>A long line of the article, number {k}.</p>" for k in range(30))
+    rows = [(k, f"http://h.com/a/{k}", frame.format(own + f"<p>edit {k}</p>")) for k in range(3)] + [(9, "http://h.com/z", frame.format("<p>Other text</p>"))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].startswith("A long line") and got[k].endswith(f"edit {k}") and got[k].count("\n") == 30 for k in range(3)) and got[9] == "Other text"
+
+
 @pytest.mark.parametrize("cut", [0, 3, 9])
 def test_longest_common_lines(cut):
     rng = random.Random(cut)

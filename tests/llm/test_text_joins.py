@@ -77,7 +77,7 @@ def test_signature_tree_loses_no_candidate():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 2**63, size=rng.integers(1, 90), dtype=np.uint64)) for _ in range(40)]
     sets += [np.unique(np.concatenate([s[rng.random(len(s)) < 0.95], rng.integers(0, 2**63, size=2, dtype=np.uint64)])) for s in sets]
-    tree = jaccard.SignatureTree(sets)
+    tree = jaccard.SignatureTree.of(sets, np.arange(len(sets)))
     found = set(zip(*(x.tolist() for x in tree.candidates(85)), strict=True))
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
@@ -86,6 +86,38 @@ def test_signature_tree_loses_no_candidate():
                 assert (a, b) in found
 
 
+def test_large_parts_meet_by_blocks(spark):
+    """Chains and clusters of near copies, all in one part, over many blocks: exact, and copies of one cluster cost no pairs of blocks."""
+    rng = random.Random(12)
+    texts, base = {}, [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    for i in range(150):  # a chain, whose ends share little
+        if i:
+            base[rng.randrange(120)] = f"c{i}"
+        texts[i] = " ".join(base)
+    for c in range(4):
+        other = base[:20] + [f"k{c}-{rng.randrange(10**6)}" for _ in range(100)]
+        for j in range(60):
+            w = list(other)
+            w[rng.randrange(20, 120)] = f"e{c}-{j}"
+            texts[1000 + 100 * c + j] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components(texts, 4, 85)
+    for block in (16, 40):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, 4, 85, bucket_tokens=3000, block=block).collect()} == want
+
+
+def test_counts_of_hot_shingles(spark):
+    """Whatever a run holds, no set's count of met shingles is below the true one, and sets that meet nothing are left out."""
+    rng = random.Random(3)
+    hot = words(rng, 12, 10**6)
+    texts = [hot + " " + words(rng, 10, 10**6) for _ in range(300)] + [words(rng, 20, 10**6) for _ in range(50)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    keys = {jaccard._key8(jaccard.shingles(t, 4)): k for k, t in enumerate(texts)}
+    for flush in (200, 10**6):
+        got = {keys[r["key"]]: r["r"] for r in jaccard._repeated_counts(docs, 4, 5, 3, flush).collect()}
+        assert set(got) == set(range(300)) and all(r == 9 for r in got.values())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (500, 499)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

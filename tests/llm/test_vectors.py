@@ -75,6 +75,38 @@ def test_several_books_count_each_link_once(spark):
     assert all(got[i] <= linked[i] for i in range(len(x))) and sum(got.values()) >= 0.999 * linked.sum()
 
 
+def test_a_pair_at_the_threshold_links(spark):
+    """Cosines of 90/100 by doubles, and the nearest ones below."""
+    a, b, c = np.zeros((3, 64), dtype=np.float32)
+    a[0] = 1
+    b[:4] = 9, 3, 3, 1
+    c[:4] = 9, 3, 3, 1.0001
+    rows = [a, b, c, a * 3, b * 0.1]
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.link_vectors(table_of(spark, rows)).collect()}
+    u = [[float(v) for v in r] for r in rows]
+    cos = lambda x, y: math.fsum(p * q for p, q in zip(x, y)) / (math.sqrt(math.fsum(p * p for p in x)) * math.sqrt(math.fsum(p * p for p in y)))
+    want = {i: sum(cos(x, y) >= 0.9 for j, y in enumerate(u) if j != i) for i, x in enumerate(u)}
+    assert got == want and cos(u[0], u[1]) == 0.9 and cos(u[0], u[2]) < 0.9
+
+
+def test_links_at_the_tables_dimension(spark):
+    """64 dimensions, where the given tables have no link: clusters at cosines of 0.85 to 1, some vectors copied, repeated ids."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64))
+    x[500:] = x[rng.integers(0, 60, size=1000)] + rng.uniform(0.2, 0.5, size=(1000, 1)) * rng.normal(size=(1000, 64))
+    x[1400:] = x[500:600] * 2
+    x = x.astype(np.float32)
+    again = [(3, [float(v) for v in x[3]], ""), (4, [float(v) for v in x[900]], "")]
+    got = {}
+    for r in near_vectors.link_vectors(table_of(spark, x, again)).collect():
+        assert got.setdefault(r["vec_id"], r["n_links"]) == r["n_links"]
+    u = x.astype(np.float64)
+    u[4] = min((x[4], x[900]), key=lambda v: v.astype("<f4").tobytes())
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert linked.sum() > 2000 and sum(got.values()) >= 0.99 * linked.sum() and all(got[i] <= n for i, n in enumerate(linked))
+
+
 def test_vector_tables_of_nothing(spark):
     for rows in ([], ODD[:2]):
         t = spark.createDataFrame(rows, SCHEMA)
@@ -102,6 +134,42 @@ def test_nearest_recall_ties_and_scores(spark):
     assert hits >= 0.9 * 5 * len(by)
 
 
+def test_repeated_ids_and_doubles(spark):
+    """An id's vector is the least in byte order; columns of doubles are taken as they are."""
+    x = np.random.default_rng(4).normal(size=(80, 16))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(50, [float(c) for c in x[7]]), (0, [float(c) for c in x[0]])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x[50] = min((x[50], x[7]), key=lambda v: v.astype("<f8").tobytes())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[[0, 50]] @ u.T
+    s[0, 0] = s[1, 50] = -9
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in nearest.search(t, lambda i: i % 50 == 0, recall=1.0).collect()}
+    right = [got[q, r + 1] == int(v) for q, row in zip((0, 50), s, strict=True) for r, v in enumerate(np.argsort(-row, kind="stable")[:5])]
+    assert len(got) == 10 and sum(right) >= 9
+
+
+def test_cells_are_finer_where_neighbours_are_close():
+    """Clusters make fine cells, few of which hold a query's neighbours; vectors at random make coarse ones."""
+    rng = np.random.default_rng(1)
+    for spread, most in ((0.05, 0.2), (1.0, 1.0)):
+        x = rng.normal(size=(150, 32))[rng.integers(0, 150, size=3000)] + spread * rng.normal(size=(3000, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        s = x[:40] @ x.T
+        s[np.arange(40), np.arange(40)] = -9
+        near = [x[np.argsort(-r)[:5]] for r in s]
+        projections, width, probes = nearest.fit_shape(x[:40], near, x, 10**6, 20_000, 4, 0.95, 31)
+        dirs, off = nearest.family(32, 4, projections, width, 31)
+        met = hits = 0
+        for i in range(40):
+            seen = np.zeros(3000, dtype=bool)
+            for t in range(4):
+                f = (x @ dirs[t] + off[t]) / width
+                seen |= np.isin(nearest._code(np.floor(f).astype(np.int64)), nearest.probed(f[i], probes))
+            met += seen.sum()
+            hits += seen[np.argsort(-s[i])[:5]].sum()
+        assert hits >= 0.9 * 200 and met <= most * 40 * 3000, (spread, projections, width, probes, met / 120_000)
+
+
 def test_few_candidates_are_all_found(spark):
     x = np.eye(4, 16, dtype=np.float32)
     x[3] = -x[0]
