@@ -179,7 +179,6 @@ def resolve_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cls": [], "n": [], "lo": [], "hi": []})
     left, right = _padded(pdf["left"], PIECE - 1, True), _padded(pdf["right"], PIECE - 1, False)
     core, t0, t1, shard = (pdf[c].to_numpy() for c in ("core", "t0", "t1", "shard"))
-    span = np.arange(PIECE)
     flags = np.zeros((len(pdf), PIECE), dtype=bool)
     for low in range(0, PIECE, PART):
         a, b = np.maximum(t0, low), np.minimum(t1, low + PART - 1)
@@ -189,22 +188,12 @@ def resolve_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
         inner_l, inner_r = left[rows, PIECE - 1 - low :], right[rows, : PIECE - low - PART]
         inner = _mix(core[rows].astype(np.uint64) + _row_names(inner_l) + _row_names(inner_r) * np.uint64(3))
         near_l, near_r = left[rows, PIECE - low - PART : PIECE - 1 - low], right[rows, PIECE - low - PART : PIECE - 1 - low]
-        alive = _count(inner) > 1
-        same = _count(inner, _row_names(near_l), _row_names(near_r), a[rows], b[rows]) > 1
-        done = rows[same]
-        flags[done] |= (span >= a[done, None]) & (span <= b[done, None])
-        open_ = np.flatnonzero(alive)
-        # whole texts that were found equal still take part once, as what others may match
-        text = _mix(inner[open_] + _row_names(near_l[open_]) * np.uint64(5) + _row_names(near_r[open_]) * np.uint64(7) + a[rows][open_].astype(np.uint64) * np.uint64(64) + b[rows][open_].astype(np.uint64))
-        _, one = np.unique(text, return_index=True)
-        open_ = open_[one]
-        still = _count(inner[open_]) > 1
-        open_ = open_[still]
-        if len(open_):
-            hit = repeated_windows(near_l[open_], inner[open_], near_r[open_], shard[rows][open_])
-            for t in range(PART):
-                k = hit[:, t] & (a[rows][open_] <= low + t) & (b[rows][open_] >= low + t)
-                flags[rows[open_[k]], low + t] = True
+        some = np.flatnonzero(_count(inner) > 1)
+        if len(some):
+            hit = repeated_windows(near_l[some], inner[some], near_r[some], shard[rows][some])
+            t = np.arange(PART)
+            at = rows[some]
+            flags[at, low : low + PART] |= hit & (t >= a[at, None] - low) & (t <= b[at, None] - low)
     edge = np.diff(np.concatenate([np.zeros((len(flags), 1), dtype=np.int8), flags.astype(np.int8), np.zeros((len(flags), 1), dtype=np.int8)], axis=1), axis=1)
     row, on = np.nonzero(edge == 1)
     _, off = np.nonzero(edge == -1)
@@ -251,7 +240,7 @@ def _covered(raw: bytes, starts: list[tuple[int, int]], length: int) -> tuple[in
     return removed, spans, b"".join(kept)
 
 
-def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", piece_rows: int = 150_000, crowd: int = 50_000, shards: int = 4) -> DataFrame:
+def strip_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", piece_rows: int = 60_000, crowd: int = 50_000, shards: int = 4) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for every row: kept is the text without each byte covered by a string of `length` bytes that also starts elsewhere.
 
     Strings are compared as UTF-8 bytes over all rows, and judged on the input. Rows are documents, whatever their ids:
