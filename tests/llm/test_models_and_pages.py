@@ -1,5 +1,6 @@
 """Quality classifier, HTML extraction, and the pipeline."""
 
+import functools
 import os
 import random
 import time
@@ -193,6 +194,59 @@ def test_a_copy_is_no_pair(spark):
     assert all(got[k].startswith("A long line") and got[k].endswith(f"edit {k}") and got[k].count("\n") == 30 for k in range(3)) and got[9] == "Other text"
 
 
+def test_a_pair_is_found_beyond_many_copies(spark):
+    frame = "<div>Top of the whole site</div>{}<div>End of the whole site</div>"
+    own = "".join(f"<p>A long line of the article, number {k}.</p>" for k in range(30))
+    rows = [(k, f"http://h.com/a/{k:02d}", frame.format(own + f"<p>edit {k}</p>")) for k in range(20)] + [(99, "http://h.com/z", frame.format("<p>Other text</p>"))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].startswith("A long line") and got[k].endswith(f"edit {k}") and got[k].count("\n") == 30 for k in range(20)) and got[99] == "Other text"
+
+
+def copies(rng):
+    """Pages of groups of near copies of which some differ in more and more lines, between pages of other text; lines are in one order on all pages of a host."""
+    pages = []
+    for host, groups in (("a.com", 3), ("b.com", 1), ("c.com", 5)):
+        for group in range(groups):
+            base = [f"text {group} {k} of the page" for k in range(25)]
+            folder, at = rng.choice(["/a/b", "/a/c", "/"]), rng.randrange(10**4)
+            for i in range(rng.choice([14, 45])):
+                text = [f"edit {rng.randrange(10**6)} of page" if rng.random() < (0.02, 0.06)[group % 2] else t for t in base]
+                pages.append((len(pages), host, f"{folder}/{at if rng.random() < 0.9 else rng.randrange(10**4):04d}/{i:03d}", "".join(f"<p>{t}</p>" for t in ["top of site", *dict.fromkeys(text), *["end of site"] * (1 + group % 2)])))
+        for i in range(5):
+            pages.append((len(pages), host, f"/{rng.choice('abz')}/{rng.randrange(10**4):04d}", f"<p>top of site</p><p>other {rng.randrange(10**6)}</p><p>end of site</p>"))
+    return pages
+
+
+@pytest.mark.parametrize("leaf, directory, load", [(256, 16 << 20, 4096), (3, 16 << 20, 2), (2, 9000, 7), (2, 0, 1)])
+def test_pairs_beyond_the_window_are_as_by_brute_force(spark, monkeypatch, leaf, directory, load):
+    pages = copies(random.Random(leaf))
+    docs = spark.createDataFrame([(i, f"http://{h}{p}", x) for i, h, p, x in pages], "page_id long, url string, html string")
+    want = brute_extract(pages, window=len(pages))
+    assert want != brute_extract(pages)
+    monkeypatch.setattr(html_text, "shared_open_lines", functools.partial(html_text.shared_open_lines, leaf=leaf, directory=directory, load=load))
+    assert sorted((r["page_id"], r["text"]) for r in html_text.extract(docs.repartition(3)).collect()) == want
+
+
+def test_bounds_rule_out_no_page_that_differs():
+    rng = random.Random(5)
+    page = lambda lines: html_text._Page("h", "/" + "x" * rng.randrange(3), 0, bytes(html_text.OPEN if rng.random() < 0.8 else html_text.BOILERPLATE for _ in lines), np.array([5 + v % 7 for v in lines], "<i4").tobytes(), np.array(lines, "<u8").tobytes())
+    some = lambda: page([v for v in range(30) if rng.random() < 0.97] + [rng.randrange(40) for _ in range(rng.randrange(3))])
+    ruled = 0
+    for _ in range(300):
+        pages = sorted((some() for _ in range(rng.randrange(1, 40))), key=lambda y: y.path)
+        x = some()
+        leaves = [pages[i : i + 3] for i in range(0, len(pages), 3)]
+        tree = html_text._Tree(7, [html_text._Bound.over([html_text._Bound.of(y) for y in b]) for b in leaves], fan=2)
+        for side in (-1, 1):
+            for start in range(7, 7 + len(leaves)):
+                got = list(tree.leaves(x, start, side, -1, 0.9))
+                all_of = list(range(start, 7 + len(leaves)) if side > 0 else range(start, 6, -1))
+                assert got == [k for k in all_of if k in got]
+                assert all(x.has_copy(y, 0.9) for k in all_of if k not in got for y in leaves[k - 7])
+                ruled += len(all_of) - len(got)
+    assert ruled > 1000
+
+
 @pytest.mark.parametrize("cut", [0, 3, 9])
 def test_longest_common_lines(cut):
     rng = random.Random(cut)
